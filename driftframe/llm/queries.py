@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm import quality_classifier, quality_rules
+from driftframe.llm import quality_classifier, quality_rules, simhash
 from driftframe.runtime import ship, table
 
 
@@ -22,9 +22,16 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    out = simhash.groups(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
+    "op9_simhash": op9_simhash,
 }
 
 #: No query of this package is expressible in SQL as a whole; the tests hold them against brute force.

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm import quality_classifier, quality_rules, simhash, token_counts
+from driftframe.llm import quality_classifier, quality_rules, simhash, token_counts, warc
 from driftframe.runtime import ship, table
 
 
@@ -37,6 +37,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    out = warc.round_trip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     out = simhash.groups(table(spark, sf_dir, "documents"))
@@ -47,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_warc": op5_warc,
     "op9_simhash": op9_simhash,
 }
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm import quality_classifier, quality_rules, simhash, token_counts, warc
+from driftframe.llm import mixing, quality_classifier, quality_rules, sharding, simhash, token_counts, warc
 from driftframe.runtime import ship, table
 
 
@@ -43,6 +43,16 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return sharding.shard(table(spark, sf_dir, "documents"), 40)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     out = simhash.groups(table(spark, sf_dir, "documents"))
@@ -54,7 +64,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_warc": op5_warc,
+    "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
+    "op10_mixing": op10_mixing,
 }
 
 #: No query of this package is expressible in SQL as a whole; the tests hold them against brute force.

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm import chat, mixing, quality_classifier, quality_rules, sharding, simhash, token_counts, warc
+from driftframe.llm import chat, decontaminate, mixing, quality_classifier, quality_rules, sharding, simhash, token_counts, warc
 from driftframe.runtime import ship, table
 
 
@@ -54,6 +54,11 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(chat.linear(rows)))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_warc": op5_warc,
     "op6_chat": op6_chat,
+    "op7_decontamination": op7_decontamination,
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,

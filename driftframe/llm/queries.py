@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftframe.llm import chat, decontaminate, mixing, quality_classifier, quality_rules, sharding, simhash, token_counts, warc
+from driftframe.llm import chat, decontaminate, html_extract, mixing, quality_classifier, quality_rules, sharding, simhash, token_counts, warc
 from driftframe.runtime import ship, table
 
 
@@ -32,6 +32,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -78,6 +83,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
+    "op3_html_extraction": op3_html_extraction,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_warc": op5_warc,
     "op6_chat": op6_chat,

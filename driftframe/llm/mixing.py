@@ -15,7 +15,7 @@ their own; a null doc_id is hashed like a value; a source with words but without
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftframe.llm.common import n_words, stored
@@ -63,8 +63,6 @@ def schedule(spark, wanted: list[float], block_words: int = BLOCK_WORDS) -> Data
     slots = slots.select(F.col("id").alias("slot"), F.size(F.filter(edges, lambda c: c <= F.col("u"))).alias("source"))
     chunk = F.floor(F.col("slot") / CHUNK)
     counts = slots.groupBy(chunk.alias("chunk"), "source").count()
-    from pyspark.sql import Window
-
     before = F.coalesce(F.sum("count").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("chunk", "source", before.alias("before"))
     nth = F.row_number().over(Window.partitionBy("chunk", "source").orderBy("slot")) - 1
@@ -78,10 +76,30 @@ def schedule(spark, wanted: list[float], block_words: int = BLOCK_WORDS) -> Data
     return ranked.unionByName(late).join(F.broadcast(used.select("source", "target", "of")), "source")
 
 
+def _key() -> Column:
+    """A key that tells rows apart but for repeated ones: doc_id, or a hash of the text where there is none."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """Per document: doc_id, size, source_size, target (its source's), taken (words the mix takes, repeats counted)."""
+    return _mix(docs, weights, share).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def apply(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
+    """docs as the mix takes them: each row as often as its taken words make up its size (rounded, a half up), with docs' columns."""
+    plan = _mix(docs, weights, share).where("taken > 0").withColumn("copies_", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int"))
+    nth = F.row_number().over(Window.partitionBy("key_").orderBy(F.col("size")))
+    plan = plan.withColumn("nth_", nth).where("copies_ > 0").select("key_", "nth_", "copies_")
+    rows = docs.withColumns({"k_": _key(), "size_": n_words()}).withColumn("n_", F.row_number().over(Window.partitionBy("k_").orderBy("size_")))
+    out = rows.join(plan, (F.col("k_") == F.col("key_")) & (F.col("n_") == F.col("nth_")))
+    return out.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)
+
+
+def _mix(docs: DataFrame, weights: tuple[int, ...], share: float) -> DataFrame:
+    """mix() with key_, see _key()."""
     spark = docs.sparkSession
-    rows = stored(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words().alias("size")), "mix-rows")
+    rows = stored(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words().alias("size"), _key().alias("key_")), "mix-rows")
     # sources are the mix's dimension, with a weight each
     found = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -100,7 +118,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     n_slots = F.broadcast(slots.groupBy(F.col("source").alias("s")).agg(F.first("of").alias("of")))
     end = F.floor(F.col("target"))
     edge = lambda j: F.floor(j * F.floor(F.col("target")) / F.col("of"))
-    lines = at.where("size > 0 and target >= 1").join(n_slots, "s").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))))
+    lines = at.where("size > 0 and target >= 1").drop("key_").join(n_slots, "s").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))))
     lines = lines.withColumn("from", F.col("offset") + F.col("pass") * F.col("source_size")).withColumn("to", F.least(F.col("from") + F.col("size"), end)).where("from < to")
     first = F.greatest(F.floor(F.col("from") * F.col("of") / end) - 1, F.lit(0)).cast("long")
     last = F.least(F.floor(F.col("to") * F.col("of") / end) + 1, F.col("of") - 1).cast("long")
@@ -109,4 +127,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     taken = pieces.select(F.col("s").alias("source"), "rank", "row", "words").join(slots.select("source", "rank"), ["source", "rank"])
     taken = taken.groupBy("row").agg(F.sum("words").alias("taken"))
     out = at.join(taken, "row", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "key_", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

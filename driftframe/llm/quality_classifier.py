@@ -10,7 +10,7 @@ all labelled rows. Nothing of a document's text leaves its task, and a host or p
 Defined cases: a null or empty text has no words and gets the evidence of such a text; null hosts or paths are sites of their
 own; repeated rows get a verdict each and count each; a null doc_id joins no label; contradictory labels of a doc_id count as
 their mean; without labels of both kinds the classifier is silent (evidence 0) and nothing is rejected; an empty table gives
-an empty result; other columns pass through transform() and are ignored elsewhere.
+an empty result; other columns, whatever their names, pass through keep() and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -86,8 +86,8 @@ class QualityModel:
         share = F.coalesce(F.col("path_share"), F.lit(self.prior))
         return joined.withColumn("path_share", share).withColumn("posterior_logit", F.col("evidence") + _logit(share))
 
-    def transform(self, docs: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-        """docs with its own columns, then posterior_logit, path_share and kept; texts are scored where they are read, not shuffled."""
+    def keep(self, docs: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
+        """The rows of docs that the posterior keeps, columns as they were; texts are scored where they are read, not shuffled."""
         fields = docs.schema
         schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
         t = fields.fieldNames().index("text")
@@ -100,8 +100,8 @@ class QualityModel:
         scored = arrow_map(plain, f, f"{schema}, " + ", ".join(f"{n} double" for n in _FEATURES)).withColumn("evidence", self.evidence())
         at = {n: F.col(f"c{i}") for i, n in enumerate(fields.fieldNames())}
         scored = scored.withColumns({"host_": at[host].cast("string"), "path_": at[path].cast("string")})
-        out = self.with_posterior(scored).withColumn("kept", F.col("posterior_logit") <= self.cut)
-        return out.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(fields.fieldNames())), "posterior_logit", "path_share", "kept")
+        out = self.with_posterior(scored).where(F.col("posterior_logit") <= self.cut)
+        return out.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(fields.fieldNames())))
 
 
 def _fit_rows(stats: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:

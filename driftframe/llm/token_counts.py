@@ -29,7 +29,7 @@ from driftframe.llm.common import arrow_map
 TABLE_SIZE = 32_768
 SUMMARY_SIZE = 16_384
 #: Entries of a worker's cache; the cache is emptied when it is full.
-CACHE_SIZE = 500_000
+CACHE_SIZE = 1_000_000
 LIMIT = 1024
 
 #: The byte-level pre-token pattern of the vocabulary, and the characters on which Python's and the library's
@@ -38,6 +38,13 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 UNSAFE = r"[^\t\n\r\x20-\x7E\xC0-\xD6\xD8-\xF6\xF8-ſ]"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from 256 up."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(kept)]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class TokenCounter:
     """Counts tokens of texts by one tokenizer, with a given table of pre-token lengths and a cache for the rest."""
 
@@ -45,26 +52,33 @@ class TokenCounter:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.table = table or {}
-        self.cache: dict[str, int] = {}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.known: dict[str, int] = {}
         self.find = regex.compile(PATTERN).findall
         self.unsafe = regex.compile(UNSAFE).search
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.use(table or {})
+
+    def use(self, table: dict[str, int]) -> None:
+        """Take a table of frequent pre-tokens; the cache starts over from it whenever it is full."""
+        self.table = table
+        self.known.update(table)
 
     def plain(self, text: str) -> bool:
         """Whether the text may be cut by PATTERN."""
         return self.unsafe(text) is None and not any(s in text for s in self.special)
 
     def whole(self, text: str) -> int:
-        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return len(self.tokenizer.encode(text, add_special_tokens=False))
 
-    def learn(self, missing: set[str]) -> None:
-        if len(self.cache) + len(missing) > CACHE_SIZE:
-            self.cache.clear()
-        new = list(missing)
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            self.cache.update(zip(part, (len(e.ids) for e in self.tokenizer.encode_batch(part, add_special_tokens=False)), strict=True))
+    def learn(self, missing: set[str], make_room: bool = True) -> None:
+        """Encode pre-tokens by the tokenizer's model and keep their lengths."""
+        if make_room and len(self.known) + len(missing) > CACHE_SIZE:
+            self.known = dict(self.table)
+        encode, letters, known = self.model.tokenize, self.letters, self.known
+        for piece in missing:
+            known[piece] = len(encode(piece.encode().decode("latin-1").translate(letters)))
 
     def count(self, text: str) -> int:
         if not text:
@@ -72,13 +86,13 @@ class TokenCounter:
         if not self.plain(text):
             return self.whole(text)
         pieces = self.find(text)
-        lengths = list(map(self.table.get, pieces))
+        lengths = list(map(self.known.get, pieces))
         if None in lengths:
-            misses = [p for p, n in zip(pieces, lengths, strict=True) if n is None]
-            unknown = set(misses).difference(self.cache)
-            if unknown:
-                self.learn(unknown)
-            return sum(n for n in lengths if n is not None) + sum(map(self.cache.__getitem__, misses))
+            self.learn({p for p, n in zip(pieces, lengths, strict=True) if n is None})
+            lengths = list(map(self.known.get, pieces))
+            if None in lengths:  # the cache was emptied in between
+                self.learn({p for p, n in zip(pieces, lengths, strict=True) if n is None}, make_room=False)
+                lengths = [self.known[p] for p in pieces]
         return sum(lengths)
 
 
@@ -110,7 +124,7 @@ def frequent(docs: DataFrame, path: str, size: int = TABLE_SIZE) -> dict[str, in
     rows = parts.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(size).collect()
     worker = TokenCounter(path)
     worker.learn({r["piece"] for r in rows})
-    return worker.cache
+    return worker.known
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
@@ -119,7 +133,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         worker = _worker(path)
-        worker.table = table.value
+        if worker.table is not table.value:
+            worker.use(table.value)
         texts = [t or "" for t in batch.column("text").to_pylist()]
         n = [worker.count(t) for t in texts]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])

@@ -40,16 +40,16 @@ def _cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, cell:
     return df.withColumn("cx_", F.explode(F.sequence(low(x0, x1), high(x0, x1)))).withColumn("cy_", F.explode(F.sequence(low(y0, y1), high(y0, y1))))
 
 
-def radius_join(points: DataFrame, segments: DataFrame, radius: float, x: str = "x", y: str = "y") -> DataFrame:
+def radius_join(points: DataFrame, segments: DataFrame, radius: float, x: str = "x", y: str = "y", keys: tuple[str, ...] = ()) -> DataFrame:
     """Points with every segment of geometry() within the radius, its nearest point (px, py) and distance.
 
     Segments go to the cells that their box widened by the radius touches; a point meets those of its own cell only, so no
-    pair is made twice and none beyond neighbouring cells.
+    pair is made twice and none beyond neighbouring cells. keys: columns that must be equal too, such as a region.
     """
     cell = max(2 * radius, 1e-6)
     s = _cells(segments, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), cell, radius)
     p = points.withColumns({"cx_": F.floor(F.col(x) / cell).cast("long"), "cy_": F.floor(F.col(y) / cell).cast("long")})
-    j = p.join(s, ["cx_", "cy_"]).drop("cx_", "cy_")
+    j = p.join(s, [*keys, "cx_", "cy_"]).drop("cx_", "cy_")
     along = (F.col(x) - F.col("x0")) * F.col("ux") + (F.col(y) - F.col("y0")) * F.col("uy")
     u = F.least(F.greatest(along, F.lit(0.0)), F.col("length"))
     j = j.withColumns({"px": F.col("x0") + F.col("ux") * u, "py": F.col("y0") + F.col("uy") * u})
@@ -62,16 +62,16 @@ def adjacency_by_node(segments: DataFrame, seg: str = "seg", a: str = "node_a",
     return ends.alias("l").join(ends.alias("r"), F.col("l.node") == F.col("r.node")).select(F.col("l.seg").alias("seg"), F.col("r.seg").alias("nbr")).distinct()
 
 
-def adjacency_by_distance(segments: DataFrame, radius: float, seg: str = "seg") -> DataFrame:
-    """(seg, nbr) of segments with end points within the radius of a common end point's neighbourhood; grid cells bound the pairs."""
-    ends = segments.select(F.col(seg).alias("seg"), F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("e"))
-    ends = ends.select("seg", "e.x", "e.y").distinct()
-    centres = ends.select(F.col("x").alias("qx"), F.col("y").alias("qy")).distinct()
+def adjacency_by_distance(segments: DataFrame, radius: float, seg: str = "seg", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(seg, nbr) of segments with end points within the radius of a common end point (and equal keys); grid cells bound the pairs."""
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ends = segments.select(*keys, F.col(seg).alias("seg"), F.explode(F.array(point("x0", "y0"), point("x1", "y1"))).alias("e")).select(*keys, "seg", "e.x", "e.y").distinct()
+    centres = ends.select(*keys, F.col("x").alias("qx"), F.col("y").alias("qy")).distinct()
     cell = max(radius, 1e-6)
     at = ends.withColumns({"cx_": F.floor(F.col("x") / cell).cast("long"), "cy_": F.floor(F.col("y") / cell).cast("long")})
     around = _cells(centres, F.col("qx"), F.col("qy"), F.col("qx"), F.col("qy"), cell, radius)
-    near = around.join(at, ["cx_", "cy_"]).where(F.hypot(F.col("x") - F.col("qx"), F.col("y") - F.col("qy")) <= radius).select("qx", "qy", "seg").distinct()
-    return near.join(near.withColumnRenamed("seg", "nbr"), ["qx", "qy"]).select("seg", "nbr").distinct()
+    near = around.join(at, [*keys, "cx_", "cy_"]).where(F.hypot(F.col("x") - F.col("qx"), F.col("y") - F.col("qy")) <= radius).select(*keys, "qx", "qy", "seg").distinct()
+    return near.join(near.withColumnRenamed("seg", "nbr"), [*keys, "qx", "qy"]).select("seg", "nbr").distinct()
 
 
 def match_scores(candidates: DataFrame, yaw: str, sigma_across: float = 8.0, gate_deg: float = 35.0) -> DataFrame:
@@ -83,6 +83,6 @@ def match_scores(candidates: DataFrame, yaw: str, sigma_across: float = 8.0, gat
 
 
 def best_match(scored: DataFrame, keys: list[str], seg: str = "seg", max_score: float = 6.0) -> DataFrame:
-    """The best candidate of each point at most max_score away; ties go to the lower segment."""
-    w = Window.partitionBy(*keys).orderBy("score", seg)
+    """The best candidate of each point at most max_score away; scores equal to nine places go to the lower segment."""
+    w = Window.partitionBy(*keys).orderBy(F.round("score", 9), seg)
     return scored.where(F.col("score") <= max_score).withColumn("nth_", F.row_number().over(w)).where("nth_ = 1").drop("nth_")

@@ -253,7 +253,7 @@ def resample_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "lag_search",
-    f"""{{DRIVE}}, b AS (SELECT drive_id, t, speed FROM drive WHERE drive_id < 12), ends AS (SELECT drive_id, max(t) AS hi FROM b GROUP BY 1),
+    f"""{{DRIVE}}, b AS (SELECT drive_id, t, speed FROM drive), ends AS (SELECT drive_id, max(t) AS hi FROM b GROUP BY 1),
     a AS (SELECT b.drive_id, b.t + 5400e0 AS t, b.speed FROM b), st AS (SELECT drive_id, avg(speed) AS m, stddev_pop(speed) AS s, count(*) AS n FROM a GROUP BY 1 HAVING count(*) >= 20),
     l AS (SELECT a.drive_id, (a.speed - st.m) / (st.s + 1e-9) AS za, i AS cand, -10800e0 + i * 1800e0 AS lag, a.t - (-10800e0 + i * 1800e0) AS tq, st.n FROM a JOIN st USING (drive_id), range(13) r(i)),
     p AS (SELECT l.*, b.t AS pt, b.speed AS pv FROM l ASOF LEFT JOIN b ON l.drive_id = b.drive_id AND l.tq > b.t),
@@ -263,7 +263,7 @@ def resample_grid(spark: SparkSession, sf: str) -> DataFrame:
     SELECT drive_id, {rs('arg_max(lag, struct_pack(a := round(c, 9), b := -cand))', 1)} AS "offset", {rs('max(c)', 5)} AS corr FROM g WHERE k >= 0.8e0 * n AND sb >= 1e-9 GROUP BY drive_id""",
 )
 def lag_search(spark: SparkSession, sf: str) -> DataFrame:
-    b = drive(spark, sf, False).where("drive_id < 12").select("drive_id", "t", "speed")
+    b = drive(spark, sf, False).select("drive_id", "t", "speed")
     a = b.withColumn("t", F.col("t") + 5400.0)
     found = align.lag_search(a, b, ["drive_id"], "t", "speed", 10800.0, 1800.0, least=20)
     return found.select("drive_id", r("offset", 1).alias("offset"), r("corr", 5).alias("corr"))

@@ -164,7 +164,7 @@ def calibration_slice(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "range_join_windows",
-    """{DRIVE}, w AS (SELECT o_custkey % 150 AS drive_id, o_orderkey, (o_orderkey % 29) * 86400e0 AS t_start, (o_orderkey % 29) * 86400e0 + 86400e0 AS t_end FROM orders WHERE o_orderstatus = 'F')
+    """{DRIVE}, w AS (SELECT o_custkey % 150 AS drive_id, o_orderkey, (o_orderkey % 29) * 86400e0 AS t_start, (o_orderkey % 29) * 86400e0 + 86400e0 AS t_end FROM orders)
     SELECT w.o_orderkey, drive.drive_id, count(*) AS n_rows FROM drive JOIN w ON drive.drive_id = w.drive_id AND t >= t_start AND t < t_end GROUP BY ALL""",
 )
 def range_join_windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -173,13 +173,13 @@ def range_join_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _order_windows(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").where("o_orderstatus = 'F'")
+    o = table(spark, sf, "orders")
     return o.select((F.col("o_custkey") % 150).alias("drive_id"), "o_orderkey", ((F.col("o_orderkey") % 29) * F.lit(DAY)).alias("t_start"), ((F.col("o_orderkey") % 29) * F.lit(DAY) + DAY).alias("t_end"))
 
 
 @query(
     "events_in_windows_once",
-    """{DRIVE}, w AS (SELECT o_custkey % 150 AS drive_id, (o_orderkey % 29) * 86400e0 AS t_start, (o_orderkey % 29) * 86400e0 + 86400e0 AS t_end FROM orders WHERE o_orderstatus = 'F')
+    """{DRIVE}, w AS (SELECT o_custkey % 150 AS drive_id, (o_orderkey % 29) * 86400e0 AS t_start, (o_orderkey % 29) * 86400e0 + 86400e0 AS t_end FROM orders)
     SELECT drive_id, CAST(count_if(event_type = 'click') AS BIGINT) AS click, CAST(count_if(event_type = 'error') AS BIGINT) AS error, CAST(count_if(event_type = 'view') AS BIGINT) AS "view"
     FROM drive d WHERE EXISTS (SELECT 1 FROM w WHERE w.drive_id = d.drive_id AND d.t >= w.t_start AND d.t < w.t_end) GROUP BY drive_id""",
 )

@@ -14,46 +14,54 @@ from driftframe.functions.geo import TWO_PI
 from driftframe.operators.clean import series
 
 
-def _stacked(left: DataFrame, right: DataFrame, keys: list[str], t: str, value: str, left_first: bool) -> DataFrame:
+def _stacked(left: DataFrame, right: DataFrame, keys: list[str], t: str, values: list[str], left_first: bool) -> DataFrame:
+    """Both sides as rows of one table: rt_ and rv_ (an array of values) of right rows, is_left_ for left ones."""
     side = (0, 1) if left_first else (1, 0)
-    a = left.withColumns({"side_": F.lit(side[0]), "rt_": F.lit(None).cast("double"), "rv_": F.lit(None).cast("double"), "is_left_": F.lit(True)})
-    b = right.select(*keys, t, F.lit(side[1]).alias("side_"), F.col(t).cast("double").alias("rt_"), F.col(value).cast("double").alias("rv_"), F.lit(False).alias("is_left_"))
+    a = left.withColumns({"side_": F.lit(side[0]), "rt_": F.lit(None).cast("double"), "rv_": F.lit(None).cast("array<double>"), "is_left_": F.lit(True)})
+    b = right.select(*keys, t, F.lit(side[1]).alias("side_"), F.col(t).cast("double").alias("rt_"), F.array(*(F.col(v).cast("double") for v in values)).alias("rv_"), F.lit(False).alias("is_left_"))
     return a.unionByName(b, allowMissingColumns=True)
 
 
 def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], t: str, value: str, into: str, max_age: float | None = None) -> DataFrame:
     """left with the value of the last row of right at or before its t (one right row per key and t), null if older than max_age."""
-    both = _stacked(left, right, keys, t, value, left_first=False)
+    both = _stacked(left, right, keys, t, [value], left_first=False)
     past = Window.partitionBy(*keys).orderBy(t, "side_").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(~F.col("is_left_"), F.struct("rt_", "rv_")), ignorenulls=True).over(past)
     out = both.withColumn("m_", last).where("is_left_")
     fresh = F.lit(True) if max_age is None else (F.col(t) - F.col("m_.rt_") <= max_age)
-    return out.withColumn(into, F.when(fresh, F.col("m_.rv_"))).drop("m_", "side_", "rt_", "rv_", "is_left_")
+    return out.withColumn(into, F.when(fresh, F.col("m_.rv_")[0])).drop("m_", "side_", "rt_", "rv_", "is_left_")
 
 
-def interpolate(left: DataFrame, right: DataFrame, keys: list[str], t: str, value: str, into: str, max_gap: float | None = None, clamp: bool = False) -> DataFrame:
-    """left with right's value interpolated linearly at its t.
+def interpolate(left: DataFrame, right: DataFrame, keys: list[str], t: str, value: str | list[str], into: str | list[str], max_gap: float | None = None, clamp: bool = False) -> DataFrame:
+    """left with right's value (or several) interpolated linearly at its t.
 
     The bracket is the last right row strictly before t and the first at or after it. clamp holds the ends' values outside
     right's range; otherwise the value is null there. max_gap makes it null where the bracket is wider; at an exact hit the
     bracket on its left counts, or at right's first row the one after it.
     """
-    both = _stacked(left, right, keys, t, value, left_first=True)
-    order = Window.partitionBy(*keys).orderBy(t, "side_")
-    point = F.when(~F.col("is_left_"), F.struct("rt_", "rv_"))
-    second = F.lead("rt_").over(Window.partitionBy(*keys, "is_left_").orderBy(t))
-    both = both.withColumn("rt2_", F.when(~F.col("is_left_"), second))
-    nxt2 = F.first(F.when(~F.col("is_left_"), F.struct("rt_", "rv_", "rt2_")), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    both = both.withColumns({"p_": F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "n_": nxt2}).where("is_left_")
-    inner = F.col("p_.rv_") + (F.col("n_.rv_") - F.col("p_.rv_")) * (F.col(t) - F.col("p_.rt_")) / (F.col("n_.rt_") - F.col("p_.rt_"))
-    exact = F.col("n_.rt_") == F.col(t)
-    result = F.when(exact, F.col("n_.rv_")).when(F.col("p_").isNotNull() & F.col("n_").isNotNull(), inner)
-    if clamp:
-        result = F.coalesce(result, F.col("n_.rv_"), F.col("p_.rv_"))
+    values, names = ([value], [into]) if isinstance(value, str) else (value, into)
+    both = _stacked(left, right, keys, t, values, left_first=True)
     if max_gap is not None:
-        width = F.when(F.col("p_").isNotNull(), F.col("n_.rt_") - F.col("p_.rt_")).otherwise(F.col("n_.rt2_") - F.col("n_.rt_"))
-        result = F.when(F.coalesce(width, F.lit(0.0)) <= max_gap, result)
-    return both.withColumn(into, result).drop("p_", "n_", "rt2_", "side_", "rt_", "rv_", "is_left_")
+        both = both.withColumn("rt2_", F.when(~F.col("is_left_"), F.lead("rt_").over(Window.partitionBy(*keys, "is_left_").orderBy(t))))
+    order = Window.partitionBy(*keys).orderBy(t, "side_")
+    right_row = ~F.col("is_left_")
+    ahead = F.struct("rt_", "rv_", "rt2_") if max_gap is not None else F.struct("rt_", "rv_")
+    both = both.withColumns({
+        "p_": F.last(F.when(right_row, F.struct("rt_", "rv_")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+        "n_": F.first(F.when(right_row, ahead), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
+    }).where("is_left_")
+    share = (F.col(t) - F.col("p_.rt_")) / (F.col("n_.rt_") - F.col("p_.rt_"))
+    out = {}
+    for i, name in enumerate(names):
+        before, after = F.col("p_.rv_")[i], F.col("n_.rv_")[i]
+        result = F.when(F.col("n_.rt_") == F.col(t), after).when(F.col("p_").isNotNull() & F.col("n_").isNotNull(), before + (after - before) * share)
+        if clamp:
+            result = F.coalesce(result, after, before)
+        if max_gap is not None:
+            width = F.when(F.col("p_").isNotNull(), F.col("n_.rt_") - F.col("p_.rt_")).otherwise(F.col("n_.rt2_") - F.col("n_.rt_"))
+            result = F.when(F.coalesce(width, F.lit(0.0)) <= max_gap, result)
+        out[name] = result
+    return both.withColumns(out).drop("p_", "n_", "rt2_", "side_", "rt_", "rv_", "is_left_")
 
 
 def nearest_time(df: DataFrame, keys: list[str], t: str, at: float, value: str, into: str) -> DataFrame:

@@ -66,18 +66,18 @@ def at_least(x: Column, floor: float) -> Column:
 
 
 def angle_between_deg(a: list[Column], b: list[Column]) -> Column:
-    """Angle of two vectors in degrees; rounding never leaves the domain of the arc cosine."""
+    """Angle of two vectors in degrees, null for one without length; rounding never leaves the domain of the arc cosine."""
     dot = F.lit(0.0)
     for x, y in zip(a, b, strict=True):
         dot = dot + _c(x) * _c(y)
-    cosine = dot / (norm(*a) * norm(*b))
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
+    cosine = F.try_divide(dot, norm(*a) * norm(*b))
+    return F.when(cosine.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
 
 
 def rotation_to_up(x: Column, y: Column, z: Column) -> list[list[Column]]:
     """Rows of the least rotation that takes a vector to +z; straight down turns about x."""
     n = norm(x, y, z)
-    ux, uy, uz = _c(x) / n, _c(y) / n, _c(z) / n
+    ux, uy, uz = F.try_divide(_c(x), n), F.try_divide(_c(y), n), F.try_divide(_c(z), n)
     down = uz <= -1.0 + 1e-12
     k = F.when(down, F.lit(0.0)).otherwise(1.0 / (1.0 + uz))
     flat = lambda normal, straight: F.when(down, F.lit(straight)).otherwise(normal)

@@ -72,7 +72,7 @@ def nearest_time(df: DataFrame, keys: list[str], t: str, at: float, value: str,
 def correlation(a: str, b: str, least: int = 10) -> Column:
     """Pearson correlation; 0 under `least` rows or for a flat signal."""
     flat = (F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)) < least) | (F.stddev_pop(a) < 1e-9) | (F.stddev_pop(b) < 1e-9)
-    return F.when(flat, 0.0).otherwise(F.corr(a, b))
+    return F.when(flat, 0.0).otherwise(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def unwrap(df: DataFrame, keys: list[str], angle: str, *order: str, into: str) -> DataFrame:
@@ -87,12 +87,12 @@ def unwrap(df: DataFrame, keys: list[str], angle: str, *order: str, into: str) -
 
 
 def gradient(df: DataFrame, keys: list[str], t: str, x: str, order: str, into: str) -> DataFrame:
-    """Derivative by central differences weighted for uneven steps, one-sided at the ends; null for a single row."""
+    """Derivative by central differences weighted for uneven steps, one-sided at the ends and beside equal times; null for a single row."""
     w = series(keys, t, order)
     before, after = F.col(t) - F.lag(t).over(w), F.lead(t).over(w) - F.col(t)
-    left, right = (F.col(x) - F.lag(x).over(w)) / before, (F.lead(x).over(w) - F.col(x)) / after
+    left, right = F.try_divide(F.col(x) - F.lag(x).over(w), before), F.try_divide(F.lead(x).over(w) - F.col(x), after)
     return df.withColumns({"hb_": before, "ha_": after, "l_": left, "r_": right}).withColumn(
-        into, F.when(F.col("l_").isNull(), F.col("r_")).when(F.col("r_").isNull(), F.col("l_")).otherwise((F.col("ha_") * F.col("l_") + F.col("hb_") * F.col("r_")) / (F.col("hb_") + F.col("ha_")))
+        into, F.when(F.col("l_").isNull(), F.col("r_")).when(F.col("r_").isNull(), F.col("l_")).otherwise(F.try_divide(F.col("ha_") * F.col("l_") + F.col("hb_") * F.col("r_"), F.col("hb_") + F.col("ha_")))
     ).drop("hb_", "ha_", "l_", "r_")
 
 
@@ -124,7 +124,7 @@ def lag_search(a: DataFrame, b: DataFrame, keys: list[str], t: str, value: str,
         F.first("lag_").alias("lag_"), F.first("grid_n").alias("grid_n"), F.count(F.lit(1)).alias("k_"), F.stddev_pop("vb_").alias("sb_"), F.avg("vb_").alias("mb_"),
         F.avg(F.col("za_") * F.col("vb_")).alias("ab_"), F.avg("za_").alias("mz_"),
     )
-    c = (F.col("ab_") - F.col("mz_") * F.col("mb_")) / F.col("sb_")
+    c = F.try_divide(F.col("ab_") - F.col("mz_") * F.col("mb_"), F.col("sb_"))
     g = g.where((F.col("k_") >= overlap * F.col("grid_n")) & (F.col("sb_") >= 1e-9)).withColumn("c_", c)
     return g.groupBy(*keys).agg(F.max_by("lag_", F.struct(F.round("c_", 9), -F.col("cand"))).alias("offset"), F.max("c_").alias("corr"))
 

@@ -79,7 +79,7 @@ def rmse_mae(df: DataFrame, keys: list[str], error: Column) -> DataFrame:
 
 def coverage(df: DataFrame, keys: list[str], error: Column, sigma: Column) -> DataFrame:
     """Share of errors within one and two sigma, and the factor that calibrates sigma."""
-    z = F.abs(error) / sigma
+    z = F.try_divide(F.abs(error), sigma)
     return df.groupBy(*keys).agg(F.avg(F.when(z <= 1, 1.0).otherwise(0.0)).alias("within_1"), F.avg(F.when(z <= 2, 1.0).otherwise(0.0)).alias("within_2"), F.sqrt(F.avg(z * z)).alias("sigma_scale"))
 
 

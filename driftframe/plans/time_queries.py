@@ -281,7 +281,7 @@ def lag_search(spark: SparkSession, sf: str) -> DataFrame:
 )
 def sync_report(spark: SparkSession, sf: str) -> DataFrame:
     d = drive(spark, sf, False).withColumn("tt", F.col("t") / 1e4)
-    g = d.groupBy("drive_id", F.floor(F.col("t") / 86400.0).alias("seg")).agg(F.round(F.corr("tt", "speed"), 6).alias("c0"), F.round(F.avg("k"), 6).alias("offs"), F.count(F.lit(1)).alias("n"))
+    g = d.groupBy("drive_id", F.floor(F.col("t") / 86400.0).alias("seg")).agg(F.round(F.try_divide(F.covar_pop("tt", "speed"), F.stddev_pop("tt") * F.stddev_pop("speed")), 6).alias("c0"), F.round(F.avg("k"), 6).alias("offs"), F.count(F.lit(1)).alias("n"))
     s = g.select("drive_id", "seg", (F.col("offs") / 20.0).alias("offset"), F.when(F.col("n") < 10, 0.0).otherwise(F.abs("c0")).alias("corr"), (F.col("n") > 3).alias("informative"))
     out = align.sync_report(s, ["drive_id"], "seg", min_corr=0.1)
     return out.select("drive_id", "seg", "passed", "rescued", "ok", r("consensus", 5).alias("consensus"))

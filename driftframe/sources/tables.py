@@ -34,6 +34,11 @@ def column_key(header: str) -> str:
     return re.sub(r"[^A-Z0-9]", "", name.upper()) + "|" + re.sub(r"[^a-z]", "", (unit or name).lower())[:3]
 
 
+def _name(header: str) -> str:
+    """The part of a key that no encoding touches."""
+    return column_key(header).partition("|")[0]
+
+
 def raw(spark: SparkSession, path: str, wanted: dict[str, str], drive_id: str) -> DataFrame:
     """Columns of a Latin-1 CSV file by canonical header, as text, with drive_id and the row's place `ord`.
 
@@ -44,12 +49,15 @@ def raw(spark: SparkSession, path: str, wanted: dict[str, str], drive_id: str) -
     place: dict[str, int] = {}
     for i, h in enumerate(headers):
         place.setdefault(column_key(h), i)
+    for i, h in enumerate(headers):  # a unit sign that an encoding has lost leaves the name
+        place.setdefault(_name(h), i)
+    at = lambda h: place.get(column_key(h), place.get(_name(h)))
     df = spark.read.option("encoding", "ISO-8859-1").option("header", True).csv(path).toDF(*(f"c{i}" for i in range(len(headers))))
-    missing = [h for h in wanted.values() if column_key(h) not in place]
+    missing = [h for h in wanted.values() if at(h) is None]
     if missing:
         raise ValueError(f"{path} lacks {missing}")
     ids = F.monotonically_increasing_id()
-    return df.select(F.lit(drive_id).alias("drive_id"), ids.alias("ord"), *(F.trim(F.col(f"c{place[column_key(h)]}")).alias(n) for n, h in wanted.items()))
+    return df.select(F.lit(drive_id).alias("drive_id"), ids.alias("ord"), *(F.trim(F.col(f"c{at(h)}")).alias(n) for n, h in wanted.items()))
 
 
 def _numbers(df: DataFrame, names: list[str]) -> DataFrame:

@@ -63,16 +63,17 @@ def paths(messages: DataFrame) -> DataFrame:
     """
     ids = messages.select(F.struct("tree").alias("t"), "node", "parent")
     known = ids.select("t", F.col("node").alias("parent"))
-    edges = stored(ids.join(known, ["t", "parent"]).select("t", "node", F.col("parent").alias("above")), "reply-edges")
+    total = messages.count()
+    edges = stored(ids.join(known, ["t", "parent"]).select("t", "node", F.col("parent").alias("above")), "reply-edges", total)
     inner = edges.select("t", F.col("above").alias("node")).distinct()
     leaves = ids.select("t", "node").join(inner, ["t", "node"], "left_anti")
-    found = stored(leaves.select("t", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "reply-paths")
+    found = stored(leaves.select("t", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "reply-paths", total)
     jump, step, n = edges, 1, edges.count()
     while n:
         further = found.join(jump, ["t", "node"]).select("t", "leaf", F.col("above").alias("node"), (F.col("up") + step).alias("up"))
-        found = stored(found.unionByName(further), "reply-paths")
+        found = stored(found.unionByName(further), "reply-paths", 2 * total)
         up = jump.select("t", F.col("node").alias("above"), F.col("above").alias("next"))
-        jump = stored(jump.join(up, ["t", "above"]).select("t", "node", F.col("next").alias("above")), "reply-jumps")
+        jump = stored(jump.join(up, ["t", "above"]).select("t", "node", F.col("next").alias("above")), "reply-jumps", n)
         before, n, step = n, jump.count(), step * 2
         if n == before:  # only cycles are left
             break

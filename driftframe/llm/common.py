@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftframe.runtime import shared_dir
+
 #: Words everywhere in this package: runs of anything but space and \t \n \v \f \r. bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch sent to Python, so that a batch of long texts stays small.
@@ -21,15 +22,6 @@ BROADCAST_ROWS = 200_000
 _stored: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -53,9 +45,20 @@ def new_path(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def stored(df: DataFrame, kind: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here and a lost executor loses nothing."""
+#: Rows of a file of an intermediate table, where their number is known before it is written.
+FILE_ROWS = 200_000
+LEAST_FILES = 8
+
+
+def stored(df: DataFrame, kind: str, rows: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends here and a lost executor loses nothing.
+
+    rows: the most rows that df can have, if known; a table of narrow rows is then dealt out evenly to as many files as these
+    need, rather than one for each shuffle partition.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, kind)
+    if rows is not None:
+        df = df.repartition(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

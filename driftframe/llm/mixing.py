@@ -111,10 +111,10 @@ def _mix(docs: DataFrame, weights: tuple[int, ...], share: float) -> DataFrame:
     order = [hash_order("doc_id", "size", seed="mix"), F.col("doc_id"), F.col("size")]
     at = running(at, ["s"], order, F.col("size"), sum(r["rows"] for r in found), "offset")
     at = at.withColumn("row", F.monotonically_increasing_id())
-    at = stored(at, "mix-lines")
+    at = stored(at, "mix-lines", sum(r["rows"] for r in found))
 
     # the line of a source: its words from 0, again from source_size; block j covers [floor(j t / n), floor((j + 1) t / n))
-    slots = stored(schedule(spark, wanted), "mix-slots")
+    slots = stored(schedule(spark, wanted), "mix-slots", int(sum(wanted) // BLOCK_WORDS) + len(wanted))
     n_slots = F.broadcast(slots.groupBy(F.col("source").alias("s")).agg(F.first("of").alias("of")))
     end = F.floor(F.col("target"))
     edge = lambda j: F.floor(j * F.floor(F.col("target")) / F.col("of"))

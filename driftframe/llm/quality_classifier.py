@@ -122,10 +122,10 @@ def _moments(sites: DataFrame, n: Column, bad: Column, mean: Column) -> float:
     return float(min(max(r["binomial"] / r["n"] / between - 1, 1.0), 1e6))
 
 
-def site_posteriors(evidence: DataFrame, prior: float) -> DataFrame:
+def site_posteriors(evidence: DataFrame, prior: float, rows: int | None = None) -> DataFrame:
     """s_host, s_path, n, host_share, path_share from evidence(host_, path_, bad) of all documents; bad is a soft count in [0, 1]."""
     paths = evidence.groupBy(F.col("host_").alias("s_host"), F.col("path_").alias("s_path")).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("bad")).alias("bad"))
-    paths = stored(paths, "site-counts")
+    paths = stored(paths, "site-counts", rows)
     hosts = paths.groupBy(F.col("s_host").alias("h")).agg(F.sum("n").alias("h_n"), F.sum("bad").alias("h_bad"))
     total = hosts.agg(F.sum("h_n").alias("n"), F.sum("h_bad").alias("bad")).first()
     mean = (total["bad"] + prior) / (total["n"] + 1) if total["n"] else prior
@@ -162,7 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "l
     soft = known.select(
         "host_", "path_", F.coalesce("label_bad", 1 / (1 + F.exp(-(F.col("evidence") + logit)))).alias("bad"), F.when(F.col("label_bad").isNull(), SOFT_WEIGHT).otherwise(1.0).alias("w")
     )
-    model.sites = stored(site_posteriors(soft, prior), "site-posteriors")
+    model.sites = site_posteriors(soft, prior, stats.count())
+    model.sites = stored(model.sites, "site-posteriors", model.sites.count())
     labelled = model.with_posterior(scored).join(labels.select("doc_id", F.when(F.col("bad") > 0.5, 0).otherwise(1).alias("quality")), "doc_id")
     model.cut = best_cut(labelled, F.col("posterior_logit"), -3 * LIMIT, 3 * LIMIT, 3 * LIMIT)
     return model, scored

@@ -61,7 +61,7 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     )
     rows = stored(rows, "shard-rows")
     groups = rows.groupBy("group_").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
-    groups = stored(groups, "shard-groups")
+    groups = stored(groups, "shard-groups", rows.count())
     total = groups.agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).first()
     if not total["rows"]:
         return spark.createDataFrame([], "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int")

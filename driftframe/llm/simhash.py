@@ -134,11 +134,12 @@ def links(distinct: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, fp (signed), component_id (the least doc_id that links reach)."""
     prints = stored(fingerprints(docs), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    roots = components(links(distinct))
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints", prints.count())
+    n = distinct.count()
+    roots = components(links(distinct), n)
     labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = stored(labelled.join(names, "root").select("fp", "component_id"), "components")
+    by_print = stored(labelled.join(names, "root").select("fp", "component_id"), "components", n)
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -1,8 +1,9 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly.
 
-Documents with equal texts form a group that stays together as far as the balance allows. A group larger than SPLIT of a
-shard is cut into parts by hash of doc_id; groups of at least a HEAVY-th of a shard are items of their own; all others are
-gathered by hash into bundles of about that size, whose vectors are sums. So the number of items depends on the number of
+Documents with equal texts form a group that stays together unless it is larger than a shard; such a group is cut into parts by
+hash of doc_id. Groups of at least a HEAVY-th of a shard are items of their own; all others are gathered by hash into bundles
+of about that size, whose vectors are sums. A single row larger than a shard can't be cut: it gets a shard, and the others
+share what is left. So the number of items depends on the number of
 shards alone and the packing runs on the driver over at most a few hundred small vectors a shard, however many documents
 there are. Items are placed from the largest to the smallest, each where the dot product of its vector with the shard's
 residual capacity is highest; the law `bytes` holds: shard sizes come out near equal.
@@ -23,8 +24,9 @@ from driftframe.llm.ranks import hash_order, running
 
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
-#: A group above this many shards is split evenly; one of at least 1/HEAVY of a shard is an item; bundles for each shard.
-SPLIT = 1.0
+#: A group larger than a shard is cut into parts of about this share of one; a group of at least 1/HEAVY of a shard is an item;
+#: bundles for each shard.
+PART = 0.25
 HEAVY = 64
 BUNDLES = 256
 LAW = "bytes"
@@ -33,12 +35,12 @@ LAW = "bytes"
 def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each item (rows of bytes, tokens, rows): largest first, where the dot product with residual capacity is highest.
 
-    Vectors are taken as shares of the total. Residuals may turn negative when a shard is full in one dimension. Bytes weigh
-    most, because the law is about them; the last items, small ones, go by residual bytes alone to level the sizes out.
+    Vectors are taken as shares of the total. Residuals may turn negative when a shard is full in one dimension.
+    An item that fits nowhere goes where most bytes are left.
     """
     share = vectors / np.maximum(vectors.sum(0), 1)
     residual = np.full((shards, vectors.shape[1]), 1.0 / shards)
-    weight = np.array([1.0, 0.1, 0.1])[: vectors.shape[1]]
+    weight = np.array([1.0, 0.1, 0.1])[: vectors.shape[1]]  # the law is about bytes
     placed = np.zeros(len(vectors), np.int64)
     order = np.lexsort((np.arange(len(vectors)), -share @ weight))
     for item in order:
@@ -51,6 +53,17 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
     return placed
 
 
+def fair_share(total: float, shards: int, rows: list[tuple[float, int]]) -> float:
+    """Size of a shard when single rows larger than that have one each; rows: (size, how many) of the largest rows."""
+    left, free = total, shards
+    for size, count in sorted(rows, reverse=True):
+        for _ in range(min(count, free)):
+            if free <= 1 or size <= left / free:
+                return max(left / max(free, 1), 1.0)
+            left, free = left - size, free - 1
+    return max(left / max(free, 1), 1.0)
+
+
 def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """Per document: doc_id, size, text_crc32, law, shard, slot (gapless from 0 in its shard), grown_shard (null: law `bytes`)."""
     spark = docs.sparkSession
@@ -66,9 +79,10 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     if not total["rows"]:
         return spark.createDataFrame([], "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int")
     capacity = max(total["bytes"] / shards, 1.0)
-    # at most HEAVY groups a shard are that heavy, and they split into at most 1 / SPLIT parts a shard more
+    # at most HEAVY groups a shard are that heavy, and they split into at most 1 / PART parts a shard more
     heavy = groups.where(F.col("bytes") >= capacity / HEAVY).collect()
-    parts = {r["group_"]: int(-(-r["bytes"] // (SPLIT * capacity))) for r in heavy}
+    capacity = fair_share(total["bytes"], shards, [(r["bytes"] / r["rows"], r["rows"]) for r in heavy])
+    parts = {r["group_"]: 1 if r["bytes"] <= capacity else min(int(-(-r["bytes"] // (PART * capacity))), r["rows"]) for r in heavy}
     light = groups.join(F.broadcast(spark.createDataFrame([(g,) for g in parts], "group_ string")), "group_", "left_anti")
     n_bundles = shards * BUNDLES
     bundle = F.pmod(F.xxhash64("group_", F.lit("bundle")), F.lit(n_bundles)).cast("int")
@@ -80,9 +94,7 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     marked = rows.join(F.broadcast(marks), "group_", "left").withColumn("part", F.when(F.col("parts").isNotNull(), part))
     sums = []
     if split:
-        names = [r["group_"] for r in heavy if r["group_"] in split]
         sums = marked.where(F.col("parts") > 1).groupBy("group_", "part").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).collect()
-        assert len(names) <= shards * HEAVY
     items = [((r["group_"], r["part"], None), r) for r in sums] + [((r["group_"], 0, None), r) for r in heavy if r["group_"] not in split] + [((None, None, r["bundle"]), r) for r in bundles]
     placed = pack(np.array([[r["bytes"], r["tokens"], r["rows"]] for _, r in items], float), shards)
     where = spark.createDataFrame([(*k, int(s)) for (k, _), s in zip(items, placed, strict=True)], "g string, p int, b int, shard int")

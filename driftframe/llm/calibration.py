@@ -46,6 +46,6 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     n = df.count()
     h = F.xxhash64(F.col(key), F.lit("sample"))
     if n > 3 * rows:
-        share = int(1_000_000 * min(1.0, 3 * rows / n)) + 1
-        df = df.where(F.pmod(h, F.lit(1_000_000)) < share)
+        share = int((1 << 40) * min(1.0, 3 * rows / n)) + 1
+        df = df.where(F.pmod(h, F.lit(1 << 40)) < share)
     return df.orderBy(h, key).limit(rows)

@@ -43,12 +43,13 @@ def interpolate(left: DataFrame, right: DataFrame, keys: list[str], t: str, valu
     both = _stacked(left, right, keys, t, values, left_first=True)
     if max_gap is not None:
         both = both.withColumn("rt2_", F.when(~F.col("is_left_"), F.lead("rt_").over(Window.partitionBy(*keys, "is_left_").orderBy(t))))
-    order = Window.partitionBy(*keys).orderBy(t, "side_")
+    # the next row is the last one of the reversed order: a frame that follows the row would be read anew for each row
+    past = lambda *order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     right_row = ~F.col("is_left_")
     ahead = F.struct("rt_", "rv_", "rt2_") if max_gap is not None else F.struct("rt_", "rv_")
     both = both.withColumns({
-        "p_": F.last(F.when(right_row, F.struct("rt_", "rv_")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
-        "n_": F.first(F.when(right_row, ahead), ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)),
+        "p_": F.last(F.when(right_row, F.struct("rt_", "rv_")), ignorenulls=True).over(past(F.asc(t), F.asc("side_"))),
+        "n_": F.last(F.when(right_row, ahead), ignorenulls=True).over(past(F.desc(t), F.desc("side_"))),
     }).where("is_left_")
     share = (F.col(t) - F.col("p_.rt_")) / (F.col("n_.rt_") - F.col("p_.rt_"))
     out = {}
@@ -136,14 +137,14 @@ def sync_report(segments: DataFrame, keys: list[str], segment: str, min_corr: fl
     if its correlation is `strong`. One that doesn't pass is rescued between passing neighbours that agree.
     """
     by = Window.partitionBy(*keys)
-    at = by.orderBy(segment)
+    earlier = lambda order: by.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     first = segments.withColumn("p0_", (F.col("corr") >= min_corr) & F.col("informative"))
     first = first.withColumn("consensus", F.median(F.when(F.col("p0_"), F.col("offset"))).over(by))
     first = first.withColumn("passed", F.col("p0_") & ~((F.abs(F.col("offset") - F.col("consensus")) > drift) & (F.col("corr") < strong)))
     mark = F.when(F.col("passed"), F.col("offset"))
     first = first.withColumns({
-        "before_": F.last(mark, ignorenulls=True).over(at.rowsBetween(Window.unboundedPreceding, -1)),
-        "after_": F.first(mark, ignorenulls=True).over(at.rowsBetween(1, Window.unboundedFollowing)),
+        "before_": F.last(mark, ignorenulls=True).over(earlier(F.asc(segment))),
+        "after_": F.last(mark, ignorenulls=True).over(earlier(F.desc(segment))),
     })
     rescued = ~F.col("passed") & F.coalesce(F.abs(F.col("before_") - F.col("after_")) < agree, F.lit(False))
     return first.withColumn("rescued", rescued).withColumn("ok", F.col("passed") | F.col("rescued")).drop("p0_", "before_", "after_")

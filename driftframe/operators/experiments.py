@@ -30,7 +30,7 @@ def common(a: DataFrame, b: DataFrame) -> DataFrame:
 def grid(spark: SparkSession, **axes: list) -> DataFrame:
     """Every combination of the axes' values, numbered in order; the axes are parameters, a handful of values each."""
     names = list(axes)
-    frames = [spark.createDataFrame([(i, v) for i, v in enumerate(axes[n])], [f"i_{n}", n]) for n in names]
+    frames = [spark.createDataFrame([(i, v) for i, v in enumerate(axes[n])], [f"i_{n}", n]).coalesce(1) for n in names]
     out = reduce(lambda a, b: a.crossJoin(b), frames)
     place = F.lit(0)
     for n in names:

@@ -26,6 +26,13 @@ def rate_of(t: np.ndarray) -> float:
     return 1.0 / float(np.median(np.diff(t))) if len(t) > 1 else 10.0
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df dealt out by key over all cores. Adaptive execution would gather groups into few tasks, as it sees their bytes, not the work on them."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def _ddl(df: DataFrame, keys: list[str]) -> str:
     kinds = dict(df.dtypes)
     return ", ".join(f"`{k}` {kinds[k]}" for k in keys)
@@ -58,7 +65,7 @@ def calibrations(rows: DataFrame, keys: list[str], cfg: dict, least: int = 100)
         row = al.row()
         return pd.DataFrame([[*key, *(row[n] for n in names), row["n_samples"], pack(al)]], columns=[*keys, *names, "n_samples", "alignment"])
 
-    return rows.groupBy(*keys).applyInPandas(one, f"{_ddl(rows, keys)}, {', '.join(f'{n} double' for n in names)}, n_samples long, alignment string")
+    return spread(rows, keys).groupBy(*keys).applyInPandas(one, f"{_ddl(rows, keys)}, {', '.join(f'{n} double' for n in names)}, n_samples long, alignment string")
 
 
 def motion_features(rows: DataFrame, keys: list[str], cfg: dict, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -75,7 +82,7 @@ def motion_features(rows: DataFrame, keys: list[str], cfg: dict, carry: tuple[st
         return pd.concat([pdf[[*keys, "t", *carry]].reset_index(drop=True), x], axis=1)
 
     extra = "".join(f", `{c}` {dict(rows.dtypes)[c]}" for c in carry)
-    return rows.groupBy(*keys).applyInPandas(one, f"{_ddl(rows, keys)}, t double{extra}, {', '.join(f'{c} double' for c in calibration.FEATURES)}")
+    return spread(rows, keys).groupBy(*keys).applyInPandas(one, f"{_ddl(rows, keys)}, t double{extra}, {', '.join(f'{c} double' for c in calibration.FEATURES)}")
 
 
 def anomalies(rows: DataFrame, keys: list[str], cfg: dict) -> DataFrame:
@@ -88,7 +95,7 @@ def anomalies(rows: DataFrame, keys: list[str], cfg: dict) -> DataFrame:
         found = [e for i in range(len(t)) if (e := detect(t[i], acc[i], gyro[i])) is not None]
         return pd.DataFrame([[*key, float(e.t), e.kind, float(e.magnitude)] for e in found], columns=[*keys, "t", "kind", "magnitude"])
 
-    return rows.groupBy(*keys).applyInPandas(one, f"{_ddl(rows, keys)}, t double, kind string, magnitude double")
+    return spread(rows, keys).groupBy(*keys).applyInPandas(one, f"{_ddl(rows, keys)}, t double, kind string, magnitude double")
 
 
 def fixes(pdf: pd.DataFrame) -> list[Fix | None]:
@@ -122,7 +129,7 @@ def _grouped(rows: DataFrame, context: DataFrame, keys: list[str], cfg: dict, mo
         return found
 
     by = [*keys, "variant"]
-    return rows.groupBy(*by).cogroup(context.groupBy(*by)).applyInPandas(one, f"{_ddl(rows, by)}, {ddl}")
+    return spread(rows, by).groupBy(*by).cogroup(spread(context, by).groupBy(*by)).applyInPandas(one, f"{_ddl(rows, by)}, {ddl}")
 
 
 def trajectories(rows: DataFrame, context: DataFrame, keys: list[str], cfg: dict, model: str | None = None) -> DataFrame:
@@ -162,6 +169,7 @@ def train_speed(features: DataFrame, keys: list[str], target: str, valid: str, c
     from driftframe.operators.features import sequence_ends
 
     names, n = cfg["model"]["features"], cfg["model"]["window"]
+    features = features.persist()
     stats = features.agg(*(F.avg(c).alias(f"m_{c}") for c in names), *(F.stddev_pop(c).alias(f"s_{c}") for c in names)).first()
     mean, std = np.array([stats[f"m_{c}"] for c in names]), np.array([stats[f"s_{c}"] for c in names]) + 1e-6
     x = features.withColumns({c: (F.col(c) - float(mean[i])) / float(std[i]) for i, c in enumerate(names)})
@@ -172,6 +180,7 @@ def train_speed(features: DataFrame, keys: list[str], target: str, valid: str, c
     rows = VectorAssembler(inputCols=columns, outputCol="x_").transform(x).select("x_", F.col(target).cast("double").alias("y_"))
     fitted = LinearRegression(featuresCol="x_", labelCol="y_", regParam=1e-3, solver="normal").fit(rows)
     sigma = float(fitted.summary.rootMeanSquaredError)
+    features.unpersist()
     return SpeedModel("linear", {"coef": fitted.coefficients.toArray(), "intercept": float(fitted.intercept), "sigma": sigma}, list(names), n, mean, std, 1.0, {"rows": int(fitted.summary.numInstances), "rmse": sigma})
 
 

@@ -28,13 +28,19 @@ def n_drives(spark: SparkSession, sf: str) -> int:
     return max(2, table(spark, sf, "events").select("user_id").distinct().count() // USERS_PER_DRIVE)
 
 
+@lru_cache(maxsize=4)
+def _drives(app: str, count: int, prefix: str, **shape: float) -> DataFrame:
+    """Drives made once per application; a lost executor's part is made again."""
+    return synthetic.drives(synthetic.specs(SparkSession.active(), count, prefix=prefix, **shape)).persist()
+
+
 def test_drives(spark: SparkSession, count: int) -> DataFrame:
-    return synthetic.drives(synthetic.specs(spark, count, prefix="t"))
+    return _drives(spark.sparkContext.applicationId, count, "t")
 
 
 def mapping_drives(spark: SparkSession, count: int) -> DataFrame:
     """The same routes on another day, for the speed model and the road map: no test drive is among them."""
-    return synthetic.drives(synthetic.specs(spark, count, prefix="m", mount_yaw_deg=0.0, acc_bias=0.02, gyro_bias=0.0))
+    return _drives(spark.sparkContext.applicationId, count, "m", acc_bias=0.02, gyro_bias=0.0)
 
 
 def windows_of(drives: DataFrame, cfg: dict) -> DataFrame:
@@ -75,7 +81,7 @@ def speed_model(spark: SparkSession, count: int) -> str:
 def prepared(spark: SparkSession, count: int, variants: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(masked rows by window and variant, context by window and variant, hidden truth by window)."""
     e, drives = CFG["evaluate"], test_drives(spark, count)
-    slices = outages.in_windows(drives, windows_of(drives, CFG), KEYS, "t", e["warmup_s"], e["post_s"])
+    slices = outages.in_windows(drives, windows_of(drives, CFG), KEYS, "t", e["warmup_s"], e["post_s"]).persist()
     inside = (F.col("t") >= F.col("t_start")) & (F.col("t") < F.col("t_end"))
     seen, hidden = outages.mask(slices, inside), outages.truth(slices, WINDOW)
     calib = seen.where((F.col("t") < F.col("t_start")) & (F.col("t") >= F.col("t_start") - CFG["preprocess"]["calib_max_s"]))

@@ -154,3 +154,30 @@ def test_synthetic_resampling(spark):
     r = synthetic.resampled(d, ["drive_id"], 50.0, ["x", "y", "speed"], 1.0, [(10.0, 15.0)])
     p = r.orderBy("t").toPandas()
     assert len(p) == round(29.9 * 50) and not p[(p.t >= 10) & (p.t < 15)].gnss_healthy.any() and 20 <= p.gnss_healthy.sum() <= 26
+
+
+def test_python_data_source(spark):
+    from driftframe.runtime import ship
+    from driftframe.sources import datasource
+
+    ship(spark)
+    datasource.register(spark)
+    df = spark.read.format("synthetic_drive").option("drives", 2).option("duration_s", 20).load()
+    assert df.count() == 400 and df.where("ref_lat is not null").count() == 0 and df.select("drive_id").distinct().count() == 2
+
+
+def test_sinks_and_command_line(spark, tmp_path, capsys):
+    from driftframe.__main__ import main
+    from driftframe.sources import sinks
+
+    df = spark.createDataFrame([(1, 2.345)], "a int, b double")
+    for kind in ("parquet", "csv", "json"):
+        sinks.save(df, str(tmp_path / kind), kind)
+    sinks.save(df, str(tmp_path / "r.md"), "md")
+    assert "| 1 | 2.35 |" in (tmp_path / "r.md").read_text() or "| 1 | 2.34 |" in (tmp_path / "r.md").read_text()
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first()["a"] == "1"
+    with pytest.raises(ValueError):
+        sinks.save(df, str(tmp_path / "x"), "xml")
+    main(["list"])
+    main(["run", "session_summary", "/root/testdata/sf0.001", "--to", str(tmp_path / "s"), "--as", "json"])
+    assert "nav_benchmark" in capsys.readouterr().out and spark.read.json(str(tmp_path / "s")).count() > 0

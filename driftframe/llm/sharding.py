@@ -72,7 +72,7 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
         F.col("doc_id").cast("long"), (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         n_words().alias("tokens"), F.md5(text.cast("binary")).alias("group_"),
     )
-    rows = stored(rows, "shard-rows")
+    rows = stored(rows, "shard-rows", mapped=True)
     groups = rows.groupBy("group_").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     groups = stored(groups, "shard-groups", rows.count())
     total = groups.agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).first()
@@ -96,6 +96,7 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     if split:
         sums = marked.where(F.col("parts") > 1).groupBy("group_", "part").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).collect()
     items = [((r["group_"], r["part"], None), r) for r in sums] + [((r["group_"], 0, None), r) for r in heavy if r["group_"] not in split] + [((None, None, r["bundle"]), r) for r in bundles]
+    items.sort(key=lambda x: tuple((v is not None, v) for v in x[0]))  # rows come from the cluster in any order
     placed = pack(np.array([[r["bytes"], r["tokens"], r["rows"]] for _, r in items], float), shards)
     where = spark.createDataFrame([(*k, int(s)) for (k, _), s in zip(items, placed, strict=True)], "g string, p int, b int, shard int")
 

@@ -10,25 +10,51 @@ import pandas as pd
 GRAVITY = 9.81
 
 
+#: Shape of a drive: cruising speed and its waves (m/s, period in s), launch (m/s2), place, half width and ramp of the stop (share of
+#: the drive, s, s), first turn, spacing and length of turns (s), their peak rate (rad/s), period of hills (s).
+CRUISE, WAVES, LAUNCH = 13.0, ((3.5, 80.0), (1.5, 31.0)), 0.8
+STOP_AT, STOP_HALF, STOP_RAMP = 0.6, 6.0, 12.0
+TURN_FIRST, TURN_EVERY, TURN_LENGTH, TURN_RATE = 35.0, 60.0, 14.0, 0.24
+HILL = 110.0
+
+
+def speeds(t: np.ndarray, duration_s: float) -> np.ndarray:
+    """A launch, a wavy cruise, and one stop eased in and out."""
+    cruise = CRUISE + sum(a * np.sin(2 * math.pi * t / p) for a, p in WAVES)
+    u = np.clip((np.abs(t - STOP_AT * duration_s) - STOP_HALF) / STOP_RAMP, 0, 1)
+    return np.minimum(cruise, LAUNCH * t) * u * u * (3 - 2 * u)
+
+
+def turn_rates(t: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Turns as raised cosines, one for each side (+1 left, -1 right)."""
+    out = np.zeros_like(t)
+    for k, side in enumerate(sides):
+        off = np.abs(t - TURN_FIRST - TURN_EVERY * k)
+        out += np.where(off < TURN_LENGTH / 2, side * TURN_RATE * (0.5 + 0.5 * np.cos(2 * math.pi * off / TURN_LENGTH)), 0.0)
+    return out
+
+
+def n_turns(duration_s: float) -> int:
+    return max(0, 1 + int((duration_s - 20 - TURN_FIRST) // TURN_EVERY))
+
+
 def truth(duration_s: float = 600.0, rate_hz: float = 10.0, seed: int = 0, mount_yaw_deg: float = 35.0, gyro_bias: float = 0.0, acc_bias: float = 0.0, grade: float = 0.0) -> pd.DataFrame:
-    """t, x, y, speed, yaw and noise-free phone samples ax ... gz."""
-    t = np.arange(0, duration_s, 1 / rate_hz)
-    wave = 12 + 4 * np.sin(2 * math.pi * t / 90) + 2 * np.sin(2 * math.pi * t / 37)
-    halt = np.clip(np.abs(t - 0.55 * duration_s) / 10 - 0.5, 0, 1)
-    speed = np.maximum(np.minimum(wave, np.maximum(t, 0) * 3 / 8) * halt, 0)
-    sides = np.random.default_rng(seed).choice([-1.0, 1.0], 1 + int(max(duration_s - 60, 0) // 70))
-    turns = sum((side * 0.25 * np.exp(-0.5 * ((t - 40 - 70 * k) / 3) ** 2) for k, side in enumerate(sides) if 40 + 70 * k < duration_s - 20), np.zeros_like(t))
-    turn = turns * (speed > 1)
-    yaw = 0.3 + np.cumsum(turn) / rate_hz
-    hill = np.arctan(grade * np.sin(2 * math.pi * t / 120 + 0.7))
-    push = np.gradient(speed, 1 / rate_hz) + GRAVITY * np.sin(hill)
-    side = speed * turn
-    pitch = -np.gradient(hill, 1 / rate_hz)
-    roll = np.sin(hill) * turn
+    """t, x, y, speed, yaw and noise-free phone samples ax ... gz. The body feels gravity on slopes and turns about the world's vertical."""
+    dt = 1 / rate_hz
+    t = np.arange(round(duration_s * rate_hz)) * dt
+    speed = speeds(t, duration_s)
+    turn = turn_rates(t, np.random.default_rng(seed).choice([-1.0, 1.0], n_turns(duration_s))) * (speed > 1)
+    yaw = 0.3 + np.cumsum(turn) * dt
+    east, north = np.cumsum(speed * np.cos(yaw)) * dt, np.cumsum(speed * np.sin(yaw)) * dt
+    slope = np.arctan(grade * np.sin(2 * math.pi * t / HILL))
+    body = {"forward": np.gradient(speed, dt) + GRAVITY * np.sin(slope), "left": speed * turn}
+    rates = {"forward": np.sin(slope) * turn, "left": -np.gradient(slope, dt)}
     c, s = math.cos(math.radians(mount_yaw_deg)), math.sin(math.radians(mount_yaw_deg))
+    onto_phone = lambda v: (c * v["forward"] + s * v["left"], c * v["left"] - s * v["forward"])
+    (ax, ay), (gx, gy) = onto_phone(body), onto_phone(rates)
     return pd.DataFrame({
-        "t": t, "x": np.cumsum(speed * np.cos(yaw)) / rate_hz, "y": np.cumsum(speed * np.sin(yaw)) / rate_hz, "speed": speed, "yaw": (yaw + math.pi) % (2 * math.pi) - math.pi,
-        "ax": c * push + s * side + acc_bias, "ay": c * side - s * push, "az": GRAVITY * np.cos(hill), "gx": c * roll + s * pitch, "gy": c * pitch - s * roll, "gz": np.cos(hill) * turn + gyro_bias,
+        "t": t, "x": east, "y": north, "speed": speed, "yaw": np.remainder(yaw + math.pi, 2 * math.pi) - math.pi,
+        "ax": ax + acc_bias, "ay": ay, "az": GRAVITY * np.cos(slope), "gx": gx, "gy": gy, "gz": np.cos(slope) * turn + gyro_bias,
     })
 
 

@@ -186,8 +186,8 @@ def motion_predict(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "synthetic_truth",
     f"""WITH u AS (SELECT greatest(2, count(DISTINCT user_id) // 75) AS n FROM events), d AS (SELECT drive_id, i, i / 10e0 AS t FROM u, range(1000) r(i), range(1, 1001) q(k), LATERAL (SELECT k - 1 AS drive_id) WHERE k <= n),
-    v AS (SELECT *, greatest(0e0, least(12 + 4 * sin(2 * pi() * t / 90) + 2 * sin(2 * pi() * t / 37), t * 3 / 8) * least(1e0, greatest(0e0, abs(t - 55e0) / 10 - 0.5e0))) AS speed FROM d),
-    w AS (SELECT *, CASE WHEN speed > 1 THEN CASE WHEN drive_id % 2 = 0 THEN 1e0 ELSE -1e0 END * 0.25e0 * exp(-0.5e0 * ((t - 40) / 3) * ((t - 40) / 3)) ELSE 0e0 END AS turn FROM v),
+    v AS (SELECT *, least(13 + 3.5e0 * sin(2 * pi() * t / 80) + 1.5e0 * sin(2 * pi() * t / 31), 0.8e0 * t) * u * u * (3 - 2 * u) AS speed FROM (SELECT *, least(1e0, greatest(0e0, (abs(t - 60e0) - 6) / 12)) AS u FROM d)),
+    w AS (SELECT *, CASE WHEN speed > 1 AND abs(t - 35) < 7 THEN CASE WHEN drive_id % 2 = 0 THEN 1e0 ELSE -1e0 END * 0.24e0 * (0.5e0 + 0.5e0 * cos(2 * pi() * abs(t - 35) / 14)) ELSE 0e0 END AS turn FROM v),
     y AS (SELECT *, 0.3e0 + sum(turn) OVER (PARTITION BY drive_id ORDER BY i ROWS UNBOUNDED PRECEDING) / 10e0 AS yaw FROM w)
     SELECT drive_id, CAST(i AS INTEGER) AS i, {rs('speed', 6)} AS speed, {rs('yaw', 5)} AS yaw, {rs('sum(speed * cos(yaw)) OVER q / 10e0', 3)} AS x, {rs('sum(speed * sin(yaw)) OVER q / 10e0', 3)} AS y FROM y WINDOW q AS (PARTITION BY drive_id ORDER BY i ROWS UNBOUNDED PRECEDING)""",
 )

@@ -143,7 +143,12 @@ def mask_outage(spark: SparkSession, sf: str) -> DataFrame:
     return seen.select(*KEYS, r("t_start", 3).alias("t_start"), r("t", 3).alias("t"), "gnss_healthy", r("gnss_speed").alias("gnss_speed"))
 
 
-@query("mask_tamper_check", "SELECT CAST(0 AS BIGINT) AS n_rows")
+@query(
+    "mask_tamper_check",
+    _SELECT
+    + """, seen AS (SELECT s.t >= p.t_start AND s.t < p.t_start + 43200e0 AS ins, s.healthy, s.speed FROM pick p JOIN s ON s.drive_id = p.drive_id AND s.session = p.session AND s.t >= p.t_start - 86400e0 AND s.t < p.t_start + 43200e0 + 21600e0),
+    masked AS (SELECT ins, healthy AND NOT ins AS healthy, CASE WHEN ins THEN NULL ELSE speed END AS speed FROM seen) SELECT count(*) AS n_rows FROM masked WHERE ins AND (healthy OR speed IS NOT NULL)""",
+)
 def mask_tamper_check(spark: SparkSession, sf: str) -> DataFrame:
     d = sessions(spark, sf, 48).select(*KEYS, "t", F.col("healthy").alias("gnss_healthy"), F.col("speed").alias("gnss_speed"), F.col("east").alias("gnss_x"), F.col("north").alias("gnss_y"))
     rows = outages.in_windows(d, _selected(spark, sf).select(*KEYS, "t_start", "t_end"), KEYS, "t", DAY, 0.25 * DAY)

@@ -43,16 +43,17 @@ def truth_native(spark: SparkSession, count: int, duration_s: float, rate_hz: fl
     """(drive_id, i, t, speed, yaw, x, y) without noise, by column expressions alone; turns alternate sides."""
     n = int(round(duration_s * rate_hz))
     d = spark.range(count).select(F.col("id").alias("drive_id"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).withColumn("t", F.col("i") / F.lit(float(rate_hz)))
-    t = F.col("t")
-    wave = 12 + 4 * F.sin(2 * math.pi * t / 90) + 2 * F.sin(2 * math.pi * t / 37)
-    halt = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.abs(t - 0.55 * duration_s) / 10 - 0.5))
-    d = d.withColumn("speed", F.greatest(F.lit(0.0), F.least(wave, t * 3 / 8) * halt))
+    t, g = F.col("t"), synthetic
+    cruise = F.lit(g.CRUISE)
+    for a, p in g.WAVES:
+        cruise = cruise + a * F.sin(2 * math.pi * t / p)
+    u = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.abs(t - g.STOP_AT * duration_s) - g.STOP_HALF) / g.STOP_RAMP))
+    d = d.withColumn("speed", F.least(cruise, g.LAUNCH * t) * u * u * (3 - 2 * u))
     turn = F.lit(0.0)
-    k = 0
-    while 40 + 70 * k < duration_s - 20:
+    for k in range(g.n_turns(duration_s)):
         side = F.when((F.col("drive_id") + k) % 2 == 0, 1.0).otherwise(-1.0)
-        turn = turn + side * 0.25 * F.exp(-0.5 * ((t - (40 + 70 * k)) / 3) * ((t - (40 + 70 * k)) / 3))
-        k += 1
+        off = F.abs(t - (g.TURN_FIRST + g.TURN_EVERY * k))
+        turn = turn + F.when(off < g.TURN_LENGTH / 2, side * g.TURN_RATE * (0.5 + 0.5 * F.cos(2 * math.pi * off / g.TURN_LENGTH))).otherwise(0.0)
     d = d.withColumn("turn", F.when(F.col("speed") > 1, turn).otherwise(0.0))
     w = Window.partitionBy("drive_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("yaw", 0.3 + F.sum("turn").over(w) / rate_hz)

@@ -47,18 +47,23 @@ def new_path(spark: SparkSession, kind: str) -> str:
 
 #: Rows of a file of an intermediate table, where their number is known before it is written.
 FILE_ROWS = 200_000
-LEAST_FILES = 8
+LEAST_FILES = 4
+#: Partitions of a scan whose narrow rows share a file.
+SCAN_PARTS = 8
 
 
-def stored(df: DataFrame, kind: str, rows: int | None = None) -> DataFrame:
+def stored(df: DataFrame, kind: str, rows: int | None = None, mapped: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here and a lost executor loses nothing.
 
     rows: the most rows that df can have, if known; a table of narrow rows is then dealt out evenly to as many files as these
-    need, rather than one for each shuffle partition.
+    need, rather than one for each shuffle partition. mapped: df is a map of a scan to narrow rows, with no shuffle below; it
+    gets a file for every SCAN_PARTS partitions of the scan. Many small files cost more than the rows in them.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, kind)
     if rows is not None:
         df = df.repartition(max(LEAST_FILES, -(-rows // FILE_ROWS)))
+    elif mapped:
+        df = df.repartition(max(LEAST_FILES, -(-df.rdd.getNumPartitions() // SCAN_PARTS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

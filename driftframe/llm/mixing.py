@@ -87,19 +87,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
 
 def apply(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """docs as the mix takes them: each row as often as its taken words make up its size (rounded, a half up), with docs' columns."""
-    plan = _mix(docs, weights, share).where("taken > 0").withColumn("copies_", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int"))
-    nth = F.row_number().over(Window.partitionBy("key_").orderBy(F.col("size")))
-    plan = plan.withColumn("nth_", nth).where("copies_ > 0").select("key_", "nth_", "copies_")
-    rows = docs.withColumns({"k_": _key(), "size_": n_words()}).withColumn("n_", F.row_number().over(Window.partitionBy("k_").orderBy("size_")))
-    out = rows.join(plan, (F.col("k_") == F.col("key_")) & (F.col("n_") == F.col("nth_")))
+    """docs as the mix takes them: each row as often as its taken words make up its size (rounded, a half up), with docs' columns.
+
+    Texts are shuffled once, to meet their key's plan. Only rows whose key has several plans (repeated ids) are ranked.
+    """
+    copies = F.when(F.col("size") > 0, F.floor(F.try_divide(F.col("taken"), F.col("size")) + 0.5)).otherwise(0).cast("int")
+    plan = _mix(docs, weights, share).groupBy("key_", "size", copies.alias("copies")).agg(F.count(F.lit(1)).alias("rows"))
+    plan = plan.groupBy("key_").agg(F.sort_array(F.collect_list(F.struct("size", "copies", "rows"))).alias("plans_")).where(F.exists("plans_", lambda x: x["copies"] > 0))
+    met = docs.withColumn("k_", _key()).join(plan, F.col("k_") == F.col("key_"))
+    single = met.where(F.size("plans_") == 1).withColumn("copies_", F.col("plans_")[0]["copies"])
+    several = met.where(F.size("plans_") > 1).withColumn("size_", n_words())
+    several = several.withColumn("nth_", F.row_number().over(Window.partitionBy("k_", "size_").orderBy("k_")))
+    own = F.filter("plans_", lambda x: x["size"] == F.col("size_"))
+    upto = F.transform(own, lambda x, i: F.struct(x["copies"].alias("copies"), F.aggregate(F.slice(own, 1, i + 1), F.lit(0).cast("long"), lambda n, y: n + y["rows"]).alias("upto")))
+    several = several.withColumn("copies_", F.get(F.filter(upto, lambda x: x["upto"] >= F.col("nth_")), F.lit(0))["copies"]).drop("size_", "nth_")
+    out = single.unionByName(several).where("copies_ > 0")
     return out.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*docs.columns)
 
 
 def _mix(docs: DataFrame, weights: tuple[int, ...], share: float) -> DataFrame:
     """mix() with key_, see _key()."""
     spark = docs.sparkSession
-    rows = stored(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words().alias("size"), _key().alias("key_")), "mix-rows")
+    rows = stored(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words().alias("size"), _key().alias("key_")), "mix-rows", mapped=True)
     # sources are the mix's dimension, with a weight each
     found = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")).collect()
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))

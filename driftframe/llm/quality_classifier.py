@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "l
     keep = ("doc_id", "host_", "path_")
     schema = "doc_id long, host_ string, path_ string, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, " + ", ".join(f"{f} double" for f in _FEATURES)
     stats = arrow_map(docs.select(*columns), lambda b: stats_batch(b, keep), schema).select(*keep, *_FEATURES)
-    stats = stored(stats, "quality-stats")
+    stats = stored(stats, "quality-stats", mapped=True)
     labels = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((1 - F.avg("quality")).alias("bad"))
     k = len(_FEATURES)
     x, y = _fit_rows(stats, labels)

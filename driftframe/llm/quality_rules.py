@@ -62,7 +62,7 @@ def anomalies(docs: DataFrame, labels: DataFrame) -> DataFrame:
     docs(doc_id, text), labels(doc_id, quality). kept is false if base_failed, else whether anomaly is at most the cut.
     """
     labels = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
-    stats = stored(statistics(docs), "rule-stats")
+    stats = stored(statistics(docs), "rule-stats", mapped=True)
     low = np.array(margins(stats, labels, RULES))
     names = [f"f_{r}" for r in RULES]
     sample = bounded_sample(stats.where("not base_failed").select("doc_id", *names), "doc_id", FIT_ROWS).collect()

@@ -8,13 +8,13 @@ fingerprints with at most 3 differing bits (a in A, b in B, c in C) meet under a
     b = 0, c <= 1              (B, C1) or (B, C2)                   exact
     a = 0, b <= 1 (any c)      (A, near(B))
     b = 0, a <= 1 (any c)      (B, near(A))
-    a = 1, b = 1, c <= 1       (near(A), near(B))
+    a = 1, b = 1, c <= 1       (near(A), near(B), C1) or (near(A), near(B), C2)
     a = 1, b = 2, c = 0        (C, near(A))
     a = 2, b = 1, c = 0        (C, near(B))
 
 near(S) is the up to six indices on the one side, decode(S) the single index on the other. Only distinct fingerprints are
-joined, each key is 24 bits or longer beside its kind, and the join's own condition verifies the distance, so that copies
-never multiply and no partner is left out. Components come from star contraction over verified links.
+joined, each key is 30 bits or longer beside its kind, so that chance meetings stay few as documents grow, and the join's own
+condition verifies the distance: copies never multiply and no partner is left out. Components come from star contraction over verified links.
 
 Defined cases: a null, empty or blank text has no shingle and fingerprint zero, linked like any other; repeated rows share
 their fingerprint and group; a row with null doc_id belongs to its group but never names it (component_id null if nobody
@@ -94,14 +94,17 @@ def keys(fp: np.ndarray, near: bool) -> tuple[np.ndarray, np.ndarray]:
         na, nb = near_indices(a), near_indices(b)
         put(5, *(a << 12 | nb[:, j] for j in range(6)))
         put(6, *(b << 12 | na[:, i] for i in range(6)))
-        put(7, *(na[:, i] << 12 | nb[:, j] for i in range(6) for j in range(6)))
+        both = [na[:, i] << 12 | nb[:, j] for i in range(6) for j in range(6)]
+        put(7, *(x << 9 | c1 for x in both))
+        put(10, *(x << 9 | c2 for x in both))
         put(8, *(c << 12 | na[:, i] for i in range(6)))
         put(9, *(c << 12 | nb[:, j] for j in range(6)))
     else:
         da, db = decode(a), decode(b)
         put(5, a << 12 | db)
         put(6, b << 12 | da)
-        put(7, da << 12 | db)
+        put(7, (da << 12 | db) << 9 | c1)
+        put(10, (da << 12 | db) << 9 | c2)
         put(8, c << 12 | da)
         put(9, c << 12 | db)
     row, key = np.concatenate(rows), np.concatenate(out)
@@ -133,7 +136,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, fp (signed), component_id (the least doc_id that links reach)."""
-    prints = stored(fingerprints(docs), "fingerprints")
+    prints = stored(fingerprints(docs), "fingerprints", mapped=True)
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints", prints.count())
     n = distinct.count()
     roots = components(links(distinct), n)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftframe.llm.common import arrow_map
+from driftframe.llm.common import BATCH_ROWS, arrow_map
 
 #: Entries of the broadcast table, and of a task's summary.
 TABLE_SIZE = 32_768
@@ -119,7 +119,7 @@ def frequent(docs: DataFrame, path: str, size: int = TABLE_SIZE) -> dict[str, in
         top = seen.most_common(SUMMARY_SIZE)
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     parts = docs.select(F.col("text").cast("string")).mapInArrow(summarise, "piece string, n long")
     rows = parts.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(size).collect()
     worker = TokenCounter(path)

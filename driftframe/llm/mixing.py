@@ -118,7 +118,7 @@ def _mix(docs: DataFrame, weights: tuple[int, ...], share: float) -> DataFrame:
     )
     at = rows.join(F.broadcast(dimension.withColumnRenamed("source", "name")), rows["source"].eqNullSafe(F.col("name"))).drop("name")
     order = [hash_order("doc_id", "size", seed="mix"), F.col("doc_id"), F.col("size")]
-    at = running(at, ["s"], order, F.col("size"), sum(r["rows"] for r in found), "offset")
+    at = running(at, ["s"], order, F.col("size"), max((r["rows"] for r in found), default=0), "offset")
     at = at.withColumn("row", F.monotonically_increasing_id())
     at = stored(at, "mix-lines", sum(r["rows"] for r in found))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a bucket holds on average, and the most buckets of one group.
-BUCKET_ROWS = 2_000
+#: Rows that a bucket of the largest group holds on average, and the most buckets of one group.
+BUCKET_ROWS = 128
 MAX_BUCKETS = 1 << 20
 
 
@@ -18,8 +18,8 @@ def hash_order(*columns: str, seed: str = "order") -> Column:
 def running(df: DataFrame, group: list[str], order: list[Column], amount: Column, rows: int, into: str) -> DataFrame:
     """df with `into`: the sum of amount over the rows of its group before it, groups ordered by `order`.
 
-    order[0] must be spread evenly over 0 to 2**62 (see hash_order); its top bits are the bucket. rows: number of rows of df,
-    which sets the number of buckets, so that neither a bucket nor the list of a group's buckets grows without bound.
+    order[0] must be spread evenly over 0 to 2**62 (see hash_order); its top bits are the bucket. rows: about how many rows the
+    largest group has, which sets the number of buckets, so that neither a bucket nor the list of a group's buckets grows large.
     """
     buckets = 1
     while buckets < MAX_BUCKETS and buckets * BUCKET_ROWS < rows:

@@ -107,5 +107,5 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     at = at.join(by_part, (at["group_"] == F.col("g")) & (at["part"] == F.col("p")), "left")
     at = at.select("doc_id", "size", "text_crc32", F.coalesce("s_part", "s_bundle").alias("shard"), F.hash("group_", "tokens").alias("tie_"))
     order = [hash_order("doc_id", "text_crc32", seed="slot"), F.col("doc_id"), F.col("tie_"), F.col("size")]
-    out = running(at, ["shard"], order, F.lit(1).cast("long"), total["rows"], "slot")
+    out = running(at, ["shard"], order, F.lit(1).cast("long"), 2 * total["rows"] // shards, "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))

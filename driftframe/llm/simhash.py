@@ -126,12 +126,29 @@ def _keyed(distinct: DataFrame, near: bool) -> DataFrame:
     return arrow_map(distinct.select("fp"), f, "key long, fp long")
 
 
+def _mask(*parts: tuple[int, int]) -> int:
+    """A signed 64-bit mask of (shift, bits) parts."""
+    m = sum(((1 << bits) - 1) << shift for shift, bits in parts)
+    return m - (1 << 64) if m >> 63 else m
+
+
+_A, _B, _C1, _C2 = (41, 23), (18, 23), (9, 9), (0, 9)
+_EXACT = (_mask(_A, _C1), _mask(_A, _C2), _mask(_B, _C1), _mask(_B, _C2))
+
+
 def links(distinct: DataFrame) -> DataFrame:
-    """(a, b), a < b: the fingerprints of distinct(fp) that differ in 1 to MAX_DISTANCE bits."""
+    """(a, b), a < b: the fingerprints of distinct(fp) that differ in 1 to MAX_DISTANCE bits.
+
+    Every kind finds its pairs from either side, so one order suffices; a pair that meets under an exact kind is taken from the
+    first such kind alone, so that a dense group of near copies is not given out once for each kind.
+    """
     left, right = _keyed(distinct, True).alias("l"), _keyed(distinct, False).alias("r")
-    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") != F.col("r.fp")) & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= MAX_DISTANCE)
-    pairs = left.join(right.hint("shuffle_merge"), on)
-    return pairs.select(F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b")).distinct()
+    differ = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
+    kind = F.shiftright("l.key", 50)
+    on = (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp")) & (F.bit_count(differ) <= MAX_DISTANCE)
+    for i, mask in enumerate(_EXACT, 1):
+        on = on & ((kind <= i) | (differ.bitwiseAND(F.lit(mask)) != 0))
+    return left.join(right.hint("shuffle_merge"), on).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")).distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:

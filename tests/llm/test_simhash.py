@@ -54,6 +54,22 @@ def test_pigeonhole_never_misses():
     assert all(met)
 
 
+def test_links_of_dense_groups_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    found = set()
+    for b in rng.integers(-(2**63), 2**63 - 1, 40, dtype=np.int64).tolist():
+        found.add(b)
+        for _ in range(20):
+            u = b & (2**64 - 1)
+            for k in rng.choice(64, rng.integers(1, 5), replace=False):
+                u ^= 1 << int(k)
+            found.add(u - 2**64 if u >> 63 else u)
+    fp = sorted(found)
+    want = {(a, b) for i, a in enumerate(fp) for b in fp[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
+    got = simhash.links(spark.createDataFrame([(x,) for x in fp], "fp long")).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_components_of_paths_stars_and_pairs(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 30)] + [(-5, 500), (500, -5), (7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -149,7 +149,7 @@ def test_no_satellite_update_inside_the_outage(variant):
     modes = {r[9] for r in out if 202 <= r[0] < 240}
     assert modes == {RECKONING}
     used = {u[1] for u in log if 202 <= u[0] < 240}
-    assert ("motionnet" in used, "nhc" in used, "map_position" in used) == (VARIANTS[variant].model, VARIANTS[variant].no_slip, VARIANTS[variant].road)
+    assert ("speed_model" in used, "nhc" in used, "map_position" in used) == (VARIANTS[variant].model, VARIANTS[variant].no_slip, VARIANTS[variant].road)
 
 
 def test_reacquisition_is_gradual():

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftframe.llm.common import arrow_map, stored
+from driftframe.llm.common import arrow_map, forget, stored
 
 #: Control strings of the template.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -71,9 +71,13 @@ def paths(messages: DataFrame) -> DataFrame:
     jump, step, n = edges, 1, edges.count()
     while n:
         further = found.join(jump, ["t", "node"]).select("t", "leaf", F.col("above").alias("node"), (F.col("up") + step).alias("up"))
-        found = stored(found.unionByName(further), "reply-paths", 2 * total)
+        longer = stored(found.unionByName(further), "reply-paths", 2 * total)
+        forget(found)
+        found = longer
         up = jump.select("t", F.col("node").alias("above"), F.col("above").alias("next"))
-        jump = stored(jump.join(up, ["t", "above"]).select("t", "node", F.col("next").alias("above")), "reply-jumps", n)
+        further_up = stored(jump.join(up, ["t", "above"]).select("t", "node", F.col("next").alias("above")), "reply-jumps", n)
+        forget(jump)
+        jump = further_up
         before, n, step = n, jump.count(), step * 2
         if n == before:  # only cycles are left
             break

@@ -65,7 +65,17 @@ def stored(df: DataFrame, kind: str, rows: int | None = None, mapped: bool = Fal
     elif mapped:
         df = df.repartition(max(LEAST_FILES, -(-df.rdd.getNumPartitions() // SCAN_PARTS)))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at_ = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the files of a stored() table that no later plan reads; anything else is left alone."""
+    path = getattr(df, "stored_at_", None)
+    if path is not None:
+        _remove(df.sparkSession, path)
+        _stored[:] = [x for x in _stored if x[1] != path]
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, setup: Callable | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftframe.llm.common import stored
+from driftframe.llm.common import forget, stored
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -34,4 +34,5 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
         now = _signature(following)
         if now == before:
             return star.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(star.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        forget(star)
         star, before = following, now

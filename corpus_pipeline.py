@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from driftframe.llm import decontaminate, mixing, quality_classifier, sharding, simhash
-from driftframe.llm.common import stored
+from driftframe.llm.common import forget, stored
 from driftframe.runtime import ship, table
 
 SHARDS = 40
@@ -65,5 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        kept = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(docs)
+        docs = kept
     return docs

@@ -64,4 +64,4 @@ def stream_engine(spark: SparkSession, sf: str) -> DataFrame:
     after = rows.where("t = 0").withColumns({"t": F.col("t") + 2000.0, "ts": F.col("ts") + F.expr("interval 2000 seconds")})
     after.coalesce(1).write.mode("append").parquet(folder)
     stream = relational.file_stream(spark, folder, rows.schema, files_per_trigger=2)
-    return _run(spark, engine.navigate(stream, navigation.CFG, "B", 10.0, "500 seconds"), "append")
+    return relational.run_to_files(spark, engine.navigate(stream, navigation.CFG, "B", 10.0, "500 seconds"), f"{folder}-out", f"{folder}-checkpoint")

@@ -31,3 +31,10 @@ def run_to_memory(spark: SparkSession, stream: DataFrame, name: str, mode: str,
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+def run_to_files(spark: SparkSession, stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Run a stream of appended rows over all it has now, into Parquet files: exactly once, and of any size."""
+    q = stream.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(folder)

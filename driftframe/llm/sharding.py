@@ -1,12 +1,13 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced jointly.
 
-Documents with equal texts form a group that stays together unless it is larger than a shard; such a group is cut into parts by
+A group's share is the largest of its shares of bytes, tokens and rows. Documents with equal texts form a group that stays together
+unless it is larger than a shard in any of the three; such a group is cut into parts by
 hash of doc_id. Groups of at least a HEAVY-th of a shard are items of their own; all others are gathered by hash into bundles
 of about that size, whose vectors are sums. A single row larger than a shard can't be cut: it gets a shard, and the others
 share what is left. So the number of items depends on the number of
 shards alone and the packing runs on the driver over at most a few hundred small vectors a shard, however many documents
 there are. Items are placed from the largest to the smallest, each where the dot product of its vector with the shard's
-residual capacity is highest; the law `bytes` holds: shard sizes come out near equal.
+residual capacity is highest and it fits in bytes, tokens and rows; the law `bytes` holds: shard sizes come out near equal.
 
 Defined cases: a null text has 0 bytes and 0 tokens, counts as empty and is in one group with empty texts; repeated rows are
 rows like others; a null doc_id is hashed like a value; fewer rows than shards leave shards empty; an empty table gives an
@@ -26,27 +27,38 @@ from driftframe.llm.ranks import hash_order, running
 ROW_BYTES = 16
 #: A group larger than a shard is cut into parts of about this share of one; a group of at least 1/HEAVY of a shard is an item;
 #: bundles for each shard.
-PART = 0.25
+PART = 1 / 16
 HEAVY = 64
 BUNDLES = 256
 LAW = "bytes"
+#: What is balanced, and its weight in the order of items and in the dot product, which chooses among shards that an item fits into; the law
+#: is about bytes.
+DIMENSIONS = ("bytes", "tokens", "rows")
+WEIGHTS = (1.0, 0.1, 0.1)
 
 
 def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
     """Shard of each item (rows of bytes, tokens, rows): largest first, where the dot product with residual capacity is highest.
 
-    Vectors are taken as shares of the total. Residuals may turn negative when a shard is full in one dimension.
-    An item that fits nowhere goes where most bytes are left.
+    Vectors are taken as shares of the total. An item that fits nowhere in all dimensions goes, of the shards where its bytes fit, to
+    that with most left in its scarcest dimension; if its bytes fit nowhere, where most bytes are left. So residuals may turn negative.
     """
     share = vectors / np.maximum(vectors.sum(0), 1)
-    residual = np.full((shards, vectors.shape[1]), 1.0 / shards)
-    weight = np.array([1.0, 0.1, 0.1])[: vectors.shape[1]]  # the law is about bytes
+    left, free = share.sum(0), shards
+    for v in share[np.argsort(-share[:, 0], kind="stable")]:  # an item of more bytes than a shard has one, and the others share what is left
+        if free <= 1 or v[0] <= left[0] / free:
+            break
+        left, free = left - v, free - 1
+    residual = np.tile(left / free, (shards, 1))
+    weight = np.array(WEIGHTS)[: vectors.shape[1]]
     placed = np.zeros(len(vectors), np.int64)
     order = np.lexsort((np.arange(len(vectors)), -share @ weight))
     for item in order:
         v = share[item]
-        fits = residual[:, 0] >= v[0]
+        fits = (residual >= v).all(1)
         scores = residual @ (v * weight)
+        if not fits.any():
+            fits, scores = residual[:, 0] >= v[0], (residual - v).min(1)
         best = int(np.argmax(np.where(fits, scores, -np.inf))) if fits.any() else int(np.argmax(residual[:, 0]))
         placed[item] = best
         residual[best] -= v
@@ -75,14 +87,15 @@ def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     rows = stored(rows, "shard-rows", mapped=True)
     groups = rows.groupBy("group_").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     groups = stored(groups, "shard-groups", rows.count())
-    total = groups.agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows")).first()
+    total = groups.agg(*(F.sum(d).alias(d) for d in DIMENSIONS)).first()
     if not total["rows"]:
         return spark.createDataFrame([], "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int")
-    capacity = max(total["bytes"] / shards, 1.0)
-    # at most HEAVY groups a shard are that heavy, and they split into at most 1 / PART parts a shard more
-    heavy = groups.where(F.col("bytes") >= capacity / HEAVY).collect()
-    capacity = fair_share(total["bytes"], shards, [(r["bytes"] / r["rows"], r["rows"]) for r in heavy])
-    parts = {r["group_"]: 1 if r["bytes"] <= capacity else min(int(-(-r["bytes"] // (PART * capacity))), r["rows"]) for r in heavy}
+    capacity = {d: max(total[d] / shards, 1.0) for d in DIMENSIONS}
+    # for each dimension at most HEAVY groups a shard are that heavy, and they split into at most 1 / PART parts a shard more
+    heavy = groups.where(F.greatest(*(F.col(d) / capacity[d] for d in DIMENSIONS)) >= 1 / HEAVY).collect()
+    capacity = {d: fair_share(total[d], shards, [(r[d] / r["rows"], r["rows"]) for r in heavy]) for d in DIMENSIONS}
+    shares = {r["group_"]: max(r[d] / capacity[d] for d in DIMENSIONS) for r in heavy}
+    parts = {r["group_"]: 1 if shares[r["group_"]] <= 1 else min(int(-(-shares[r["group_"]] // PART)), r["rows"]) for r in heavy}
     light = groups.join(F.broadcast(spark.createDataFrame([(g,) for g in parts], "group_ string")), "group_", "left_anti")
     n_bundles = shards * BUNDLES
     bundle = F.pmod(F.xxhash64("group_", F.lit("bundle")), F.lit(n_bundles)).cast("int")

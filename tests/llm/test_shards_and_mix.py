@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftframe.llm import mixing, sharding
 from driftframe.llm.ranks import hash_order, running
@@ -54,6 +55,13 @@ def test_reruns_agree_and_edges(spark):
     assert sharding.shard(d.limit(1), 40).collect()[0]["slot"] == 0
 
 
+def test_many_rows_of_few_bytes_are_spread(spark):
+    d = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.col("id").cast("string"), F.repeat(F.lit(" some words"), 20))).alias("text"))
+    got = sharding.shard(d, 8).groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).collect()
+    rows, sizes = [r["n"] for r in got], [r["size"] for r in got]
+    assert len(got) == 8 and sum(rows) == 6000 and max(rows) < 1.05 * 750 and max(sizes) < 1.02 * sum(sizes) / 8
+
+
 def test_packing_puts_items_where_residuals_point():
     rng = np.random.default_rng(0)
     v = rng.lognormal(size=(2000, 3)) * [1000, 200, 1]

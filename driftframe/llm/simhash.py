@@ -57,14 +57,20 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every whole text."""
+def fingerprints(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of every whole text; hashed: and a hash of the text."""
+    more = ["text_hash"] if hashed else []
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp), *(batch.column(c) for c in more)], ["doc_id", "fp", *more])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), f, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return arrow_map(rows.withColumn("text_hash", _text_hash()) if hashed else rows, f, "doc_id long, fp long" + "".join(f", {c} long" for c in more))
+
+
+def _text_hash():
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _segments(fp: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -151,24 +157,28 @@ def links(distinct: DataFrame) -> DataFrame:
     return left.join(right.hint("shuffle_merge"), on).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")).distinct()
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, fp (signed), component_id (the least doc_id that links reach)."""
-    prints = stored(fingerprints(docs), "fingerprints", mapped=True)
+def groups(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """Per document: doc_id, fp (signed), component_id (the least doc_id that links reach); hashed: and text_hash and root, which
+    tells groups apart that the same doc_id names."""
+    prints = stored(fingerprints(docs, hashed), "fingerprints", mapped=True)
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints", prints.count())
     n = distinct.count()
     roots = components(links(distinct), n)
     labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = stored(labelled.join(names, "root").select("fp", "component_id"), "components", n)
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = stored(labelled.join(names, "root").select("fp", "component_id", *(["root"] if hashed else [])), "components", n)
+    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id", *(["text_hash", "root"] if hashed else []))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group: that whose doc_id names it; repeated rows of that doc_id go, rows without a doc_id stay."""
+    """docs with one row of each group: of the rows whose doc_id names it, that with the least fingerprint, and of equal texts the first
+    by a hash of the row; rows without a doc_id stay."""
     from pyspark.sql import Window
 
-    found = groups(docs.select("doc_id", "text"))
-    named = found.where("doc_id = component_id").select("doc_id").distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))
-    kept = docs.join(named, "doc_id", "left_semi").withColumn("nth_", nth).where("nth_ = 1").drop("nth_").select(docs.columns)
+    found = groups(docs.select("doc_id", "text"), hashed=True)
+    named = found.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("fp", "text_hash", "doc_id")).alias("first"))
+    named = named.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("hash_"))
+    row = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "hash_").orderBy(row))
+    kept = docs.withColumn("hash_", _text_hash()).join(named, ["doc_id", "hash_"], "left_semi").withColumn("nth_", nth).where("nth_ = 1").select(docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))

@@ -111,3 +111,11 @@ def test_one_row_of_each_group_stays(spark):
     ids = sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect())
     named = {r["component_id"] for r in simhash.groups(d).collect() if r["component_id"] is not None}
     assert kept.columns == d.columns and ids == sorted(named) and 1 in ids and 2 not in ids and 11 not in ids
+
+
+def test_every_group_keeps_one_row_where_ids_repeat(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(80)) for k in "abc"}
+    rows = [(1, text["a"]), (5, text["a"]), (5, text["b"]), (7, text["b"]), (8, text["c"]), (8, text["c"] + " " + text["a"]), (9, text["c"])]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        kept = simhash.deduplicate(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
+        assert sorted(map(tuple, kept)) == sorted([rows[0], rows[2], rows[4], rows[5]])

@@ -14,9 +14,12 @@ import numpy as np
 #: Sampled steps of each repetition, all beginning with the anchor itself: several spreads over the next words.
 SAMPLES = ((0, 3, 6, 10), (0, 2, 5, 8), (0, 4, 8, 13), (0, 1, 3, 6), (0, 5, 7, 12), (0, 2, 4, 11))
 REPEATS = 1
-#: Distance between an item's anchors in words; items shorter than SHORT have one at every word.
+#: Distance between an item's anchors in words; items shorter than DENSE have one at every word, and use keys of fewer steps near
+#: their end: of at least LEAST_STEPS, or of any number if shorter than SHORT.
 ANCHOR_GAP = 4
 SHORT = 16
+DENSE = 25
+LEAST_STEPS = 3
 _TABLE_BITS = 20
 
 
@@ -38,7 +41,7 @@ class Repetition:
         starts, ends, owners, offsets = [], [], [], []
         begin = 0
         for k, item in enumerate(items):
-            for o in range(0, len(item), 1 if len(item) < SHORT else ANCHOR_GAP):
+            for o in range(0, len(item), 1 if len(item) < DENSE else ANCHOR_GAP):
                 starts.append(begin + o)
                 ends.append(begin + len(item))
                 owners.append(k)
@@ -49,7 +52,7 @@ class Repetition:
         length = np.array([len(i) for i in items], np.int64)[self.owner] if items else np.zeros(0, np.int64)
         # An anchor uses the steps that surely stay inside its item; long items leave out anchors too near their end.
         room = (np.array(steps)[:, None] < (end - at)[None, :]).sum(0) if len(at) else np.zeros(0, np.int64)
-        use = np.where(room == len(steps), room, np.where(length < SHORT, room, 0))
+        use = np.where(room == len(steps), room, np.where((length < SHORT) | ((length < DENSE) & (room >= LEAST_STEPS)), room, 0))
         self.levels = []
         key, where, step = np.zeros(len(at), np.uint64), at.copy(), 0
         for level, j in enumerate(steps, 1):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftframe.llm.cgk import ANCHOR_GAP, REPEATS, SAMPLES, SHORT, Repetition, edit_distances
+from driftframe.llm.cgk import ANCHOR_GAP, DENSE, REPEATS, SAMPLES, Repetition, edit_distances
 from driftframe.llm.common import arrow_map
 
 #: Share of an item's words that may be edited.
@@ -53,7 +53,7 @@ class Index:
         #: Symbols at which some item has an anchor: every repetition's first sampled step.
         self.anchor = np.zeros(len(self.vocabulary) + 1, bool)
         for item in self.items:
-            self.anchor[item[:: 1 if len(item) < SHORT else ANCHOR_GAP]] = True
+            self.anchor[item[:: 1 if len(item) < DENSE else ANCHOR_GAP]] = True
         self.repetitions = [Repetition(self.items, len(self.vocabulary), s, SEED + 100 * r + k) for r in range(REPEATS) for k, s in enumerate(SAMPLES)] if worded else []
 
     def find(self, texts: list[str | None]) -> list[list[int]]:

@@ -65,6 +65,19 @@ def test_recall_and_precision():
     assert index.find(clean) == [[]] * 200
 
 
+def test_recall_by_length_of_short_items():
+    rng = random.Random(8)
+    for n in (15, 16, 17, 18, 20, 24, 25):
+        items = [(i, " ".join(words(n, rng))) for i in range(300)]
+        texts = []
+        for k, (_, t) in enumerate(items):
+            w, edits = t.split(), n // 5
+            for p in [int((j + 0.5) * n / edits) for j in range(edits)] if k % 2 else rng.sample(range(n), edits):
+                w[p] = f"other{k}"
+            texts.append(" ".join([*words(50, rng), *w, *words(50, rng)]))
+        assert sum(i in g for (i, _), g in zip(items, Index(items).find(texts), strict=True)) >= 0.99 * len(items), n
+
+
 def test_found_items_equal_brute_force():
     rng = random.Random(7)
     items = ITEMS[:15]

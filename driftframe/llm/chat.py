@@ -1,158 +1,176 @@
 """Chat formatting over reply trees.
 
-messages(tree, node, parent, role, text, score) form trees. Self-joins by pointer doubling enumerate every root-to-leaf path:
-after round k each node knows its ancestor 2**k above, and each leaf the members of its path up to 2**(k+1) above, so a path of
-n messages takes log2(n) rounds. Branches are ranked by score, the best ones of each tree are chosen, and each chosen path is
-formatted as one conversation with the spans of its loss mask.
+messages(tree, node, parent, role, text, score) form trees. Iterated self-joins enumerate every root-to-leaf path: a round joins what
+is known of paths, and the jumps from node to ancestor, with the jumps, which doubles the length of both; a path of n messages takes
+log2(n) rounds, all of ids alone, each one join and one table in the shared folder. Branches are ranked by score, the best ones of each tree are
+chosen, and each chosen path is formatted as one conversation with the spans of its loss mask.
 
 Template: <|im_start|>role LF text <|im_end|> LF, for each message. Inside a text each "<" followed by backslashes and "|" gets
-one more backslash, so a control string can't occur there and unescape() restores the text exactly; a role is escaped likewise,
-with its backslashes doubled and its line feeds written as \\n first.
+one more backslash, so a control string can't occur there and the text can be restored exactly; a role is escaped likewise, with its
+backslashes written as \\b and its line feeds as \\n first.
+
+Texts meet their path once, at the end, in the JVM. A path is put together in stretches of STRETCH messages, so that a long conversation is
+joined, sorted and escaped by many tasks; only its finished stretches meet in one, as a conversation is one row of the output.
 
 Defined cases: null roles and texts are empty; messages whose parent is null or not in their tree are roots; a parent cycle has
-no root, and its messages are in no conversation; repeated node ids of a tree are an error of the caller (linear() numbers
-messages itself, so repeated turns are all kept, ordered by turn, role, text); null trees form one tree; an empty table gives an
-empty result; other columns are ignored. One conversation is one row of the output, so its messages meet in one task.
+no root, and messages in it or above which it stands are in no conversation; repeated node ids of a tree are an error of the caller
+(linear() numbers messages itself, so repeated turns are all kept, ordered by turn, role, text); null trees form one tree; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
+from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftframe.llm.common import arrow_map, forget, stored
+from driftframe.llm.common import stored
 
 #: Control strings of the template.
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
+#: Messages of a path that are joined and formatted together, and turns that are numbered together.
+STRETCH = 256
 
 
-def escape(text: str) -> str:
-    return re.sub(r"<(\\*)\|", r"<\\\1|", text)
+def escape(text: Column) -> Column:
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
 
 
-def unescape(text: str) -> str:
-    return re.sub(r"<\\(\\*)\|", r"<\1|", text)
+def unescape(text: Column) -> Column:
+    return F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
 
 
-def escape_role(role: str) -> str:
-    return escape(role.replace("\\", "\\\\").replace("\n", "\\n"))
+def escape_role(role: Column) -> Column:
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")))
 
 
-def unescape_role(role: str) -> str:
-    return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
+def unescape_role(role: Column) -> Column:
+    return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
 def linear(conversations: DataFrame) -> DataFrame:
-    """messages of conversations(conv_id, turn, role, text): each turn replies to the one before it."""
-    by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    """messages of conversations(conv_id, turn, role, text): each turn replies to the one before it.
+
+    Turns are numbered within stretches of turn numbers, and stretches by running totals of their rows.
+    """
+    stretch = F.struct(F.col("conv_id").alias("c"), F.floor(F.col("turn") / STRETCH).alias("b")).alias("k")
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    rows = rows.withColumn("node", F.row_number().over(by).cast("long"))
+    totals = rows.select(stretch).groupBy("k").agg(F.count(F.lit(1)).alias("rows"))
+    earlier = Window.partitionBy("k.c").orderBy("k.b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("k", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("k").orderBy("turn", "role", "text"))
+    rows = rows.select("*", stretch).withColumn("own", own).join(totals, "k").withColumn("node", (F.col("before") + F.col("own")).cast("long"))
     parent = F.when(F.col("node") > 1, F.col("node") - 1)
     return rows.select(F.col("conv_id").alias("tree"), "node", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, node, up): every message of every root-to-leaf path; up counts steps from the leaf.
+def _placed(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, ids), both stored: t holds the tree, so that null trees join; ids(t, node, above) has above null at roots."""
+    rows = messages.select(F.struct("tree").alias("t"), F.col("node").cast("long"), F.col("parent").cast("long"), "role", "text", "score")
+    rows = stored(rows, "messages")
+    known = rows.select("t", F.col("node").alias("parent"), F.col("node").alias("above"))
+    ids = rows.select("t", "node", "parent").join(known, ["t", "parent"], "left").select("t", "node", "above")
+    return rows, stored(ids, "reply-edges", rows.count())
 
-    Ids only; each round is settled in the shared folder.
+
+def _paths(ids: DataFrame, n: int) -> DataFrame:
+    """(t, leaf, node, up) of every path of ids(t, node, above); paths above which a cycle stands are cut somewhere in it.
+
+    A row (t, start, at, up) says that at stands up messages above start: of a path if start is its leaf, else a jump of the round's
+    length. A round joins all rows with its jumps, which gives more of each path and jumps twice as long.
     """
-    ids = messages.select(F.struct("tree").alias("t"), "node", "parent")
-    known = ids.select("t", F.col("node").alias("parent"))
-    total = messages.count()
-    edges = stored(ids.join(known, ["t", "parent"]).select("t", "node", F.col("parent").alias("above")), "reply-edges", total)
-    inner = edges.select("t", F.col("above").alias("node")).distinct()
-    leaves = ids.select("t", "node").join(inner, ["t", "node"], "left_anti")
-    found = stored(leaves.select("t", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")), "reply-paths", total)
-    jump, step, n = edges, 1, edges.count()
-    while n:
-        further = found.join(jump, ["t", "node"]).select("t", "leaf", F.col("above").alias("node"), (F.col("up") + step).alias("up"))
-        longer = stored(found.unionByName(further), "reply-paths", 2 * total)
-        forget(found)
-        found = longer
-        up = jump.select("t", F.col("node").alias("above"), F.col("above").alias("next"))
-        further_up = stored(jump.join(up, ["t", "above"]).select("t", "node", F.col("next").alias("above")), "reply-jumps", n)
-        forget(jump)
-        jump = further_up
-        before, n, step = n, jump.count(), step * 2
-        if n == before:  # only cycles are left
+    edges = ids.where("above is not null").select("t", F.col("node").alias("start"), F.col("above").alias("at"))
+    leaves = ids.select("t", F.col("node").alias("start")).join(edges.select("t", F.col("at").alias("start")).distinct(), ["t", "start"], "left_anti")
+    on_path, up = F.lit(True).alias("path"), F.lit(0).cast("long").alias("up")
+    parts = [stored(leaves.select("t", "start", F.col("start").alias("at"), up, on_path), "reply-paths", n)]
+    jump, going, step = edges, edges.count(), 1
+    while going:
+        rows = reduce(DataFrame.unionByName, [*parts, jump.select("t", "start", "at", F.lit(step).cast("long").alias("up"), F.lit(False).alias("path"))])
+        onward = jump.select("t", F.col("start").alias("at"), F.col("at").alias("next"))
+        further = rows.join(onward, ["t", "at"]).select("t", "start", F.col("next").alias("at"), (F.col("up") + step).alias("up"), "path")
+        further = stored(further, "reply-paths", n + going)
+        parts.append(further.where("path"))
+        before, jump, step = going, further.where("not path").select("t", "start", "at"), step * 2
+        going = jump.count()
+        if going == before:  # only cycles, and what hangs off them, are left
             break
-    return found.select("t.tree", "leaf", "node", "up")
+    return reduce(DataFrame.unionByName, parts).select("t", F.col("start").alias("leaf"), F.col("at").alias("node"), "up")
 
 
-def conversations(messages: DataFrame, best: int = 1) -> DataFrame:
-    """(tree, leaf, rank, turns): the best paths of each tree by mean score (ties: lower leaf), turns in order from the root."""
-    every = paths(messages)
-    rooted = messages.select(F.struct("tree").alias("t"), "node", "role", "text", "score")
-    on = every.select(F.struct("tree").alias("t"), "leaf", "node", "up")
-    ranked = on.join(rooted.select("t", "node", "score"), ["t", "node"]).groupBy("t", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("mean"), F.max("up").alias("top"))
+def paths(messages: DataFrame) -> DataFrame:
+    """(tree, leaf, node, up): every message of every root-to-leaf path; up counts steps from the leaf."""
+    rows, ids = _placed(messages)
+    every = _paths(ids, rows.count())
+    roots = ids.where("above is null").select("t", "node")
+    whole = every.join(roots, ["t", "node"], "left_semi").select("t", "leaf")
+    return every.join(whole, ["t", "leaf"], "left_semi").select("t.tree", "leaf", "node", "up")
+
+
+def turns(messages: DataFrame, best: int = 1) -> DataFrame:
+    """(t, leaf, rank, stretch, up, role, text): the best paths of each tree by mean score (ties: lower leaf). A path is read by falling up;
+    stretch is up by STRETCH."""
+    rows, ids = _placed(messages)
+    every = _paths(ids, rows.count())
+    stretch = F.floor(F.col("up") / STRETCH).alias("stretch")
+    nodes = rows.select("t", "node", F.coalesce("score", F.lit(0.0)).alias("score")).join(ids.select("t", "node", F.col("above").isNull().alias("root")), ["t", "node"])
+    ranked = every.join(nodes, ["t", "node"]).groupBy("t", "leaf").agg(F.avg("score").alias("mean"), F.max("up").alias("top"), F.max("root").alias("whole")).where("whole")
     order = Window.partitionBy("t").orderBy(F.desc("mean"), "leaf")
-    chosen = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).select("t", "leaf", "rank")
-    rows = on.join(chosen, ["t", "leaf"]).join(rooted.drop("score"), ["t", "node"])
-    turn = F.struct((-F.col("up")).alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    out = rows.groupBy("t", "leaf", "rank").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    return out.select("t.tree", "leaf", "rank", "turns")
-
-
-_FORMATTED = "tree long, leaf long, rank int, formatted string, loss array<struct<start: long, length: long>>"
-
-
-def format_paths(chosen: DataFrame) -> DataFrame:
-    """(tree, leaf, rank, formatted, loss): one text a conversation; loss: code-point spans of the learned texts, escaped as they stand."""
-
-    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, masks = [], []
-        for turns in batch.column("turns").to_pylist():
-            parts, spans, at = [], [], 0
-            for t in turns:
-                head, body, tail = f"{START}{escape_role(t['role'])}\n", escape(t["text"]), f"{END}\n"
-                if t["role"] == LEARNED:
-                    spans.append({"start": at + len(head), "length": len(body)})
-                parts += [head, body, tail]
-                at += len(head) + len(body) + len(tail)
-            texts.append("".join(parts))
-            masks.append(spans)
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-        return pa.RecordBatch.from_arrays([batch.column("tree"), batch.column("leaf"), batch.column("rank"), pa.array(texts, pa.string()), pa.array(masks, kind)], ["tree", "leaf", "rank", "formatted", "loss"])
-
-    return arrow_map(chosen.select("tree", "leaf", "rank", "turns"), f, _FORMATTED)
+    chosen = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
+    chosen = chosen.select("t", "leaf", "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("top") / STRETCH))).alias("stretch"))
+    at = every.select("t", "leaf", "node", "up", stretch).join(chosen, ["t", "leaf", "stretch"])
+    said = rows.select("t", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return at.join(said, ["t", "node"]).select("t", "leaf", "rank", "stretch", "up", "role", "text")
 
 
 def format_chats(messages: DataFrame, best: int = 1) -> DataFrame:
-    """The chosen paths of messages, formatted; see format_paths()."""
-    return format_paths(conversations(messages, best))
-
-
-def parse(formatted: str) -> list[tuple[str, str]]:
-    """(role, text) of each message of a formatted conversation, unescaped."""
-    out = []
-    for piece in formatted.split(START)[1:]:
-        head, _, body = piece.partition("\n")
-        out.append((unescape_role(head), unescape(body.removesuffix(f"{END}\n"))))
-    return out
+    """(tree, leaf, rank, formatted, loss): one text a chosen path. loss has an entry for each message, in order: at is where the message
+    begins in the text, start and length (0 where nothing is learned) the span under the mask, all in code points, escapes as they stand."""
+    path, learned = ["t", "leaf", "rank"], F.col("role") == LEARNED
+    rows = turns(messages, best).select(
+        *path, "stretch", "up", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"), learned.alias("learned")
+    )
+    rows = rows.select(
+        *path, "stretch", F.length("head").cast("long").alias("lead"), F.when(F.col("learned"), F.length("body")).otherwise(0).cast("long").alias("length"),
+        (-F.col("up")).alias("nth"), F.concat("head", "body", F.lit(END + "\n")).alias("piece"),
+    ).withColumn("chars", F.length("piece").cast("long"))
+    at = F.coalesce(F.sum("chars").over(Window.partitionBy(*path, "stretch").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    piece = F.struct("nth", "piece", "at", (F.col("at") + F.col("lead")).alias("start"), "length")
+    parts = rows.withColumn("at", at).groupBy(*path, "stretch").agg(F.sort_array(F.collect_list(piece)).alias("pieces"), F.sum("chars").alias("chars"))
+    parts = parts.select(
+        *path, (-F.col("stretch")).alias("nth"), "chars", F.array_join(F.transform("pieces", lambda x: x["piece"]), "").alias("part"),
+        F.transform("pieces", lambda x: F.struct(x["at"].alias("at"), x["start"].alias("start"), x["length"].alias("length"))).alias("spans"),
+    )
+    before = F.coalesce(F.sum("chars").over(Window.partitionBy(*path).orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.withColumn("before", before)
+    spans = F.transform("spans", lambda x: F.struct((x["at"] + F.col("before")).alias("at"), (x["start"] + F.col("before")).alias("start"), x["length"].alias("length")))
+    whole = parts.withColumn("spans", spans).groupBy(*path).agg(F.sort_array(F.collect_list(F.struct("nth", "part", "spans"))).alias("parts"))
+    return whole.select("t.tree", "leaf", "rank", F.array_join(F.transform("parts", lambda x: x["part"]), "").alias("formatted"), F.flatten(F.transform("parts", lambda x: x["spans"])).alias("loss"))
+
+
+def pieces(formatted: Column) -> Column:
+    """The messages of a formatted conversation, without what begins each: an array of strings."""
+    return F.filter(F.split(formatted, r"<\|im_start\|>", -1), lambda x, i: i > 0)
+
+
+def _head(piece: Column) -> Column:
+    return F.substring_index(piece, "\n", 1)
+
+
+def parse(formatted: Column) -> Column:
+    """An array of (role, text) of a formatted conversation's messages, unescaped."""
+    body = lambda p: F.substr(p, F.length(_head(p)) + 2, F.length(p) - F.length(_head(p)) - (2 + len(END)))
+    return F.transform(pieces(formatted), lambda p: F.struct(unescape_role(_head(p)).alias("role"), unescape(body(p)).alias("text")))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """Per formatted conversation what can be read back from it: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
-
-    def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        columns: list[list] = [[], [], [], [], []]
-        for text, loss in zip(batch.column("formatted").to_pylist(), batch.column("loss").to_pylist(), strict=True):
-            turns = parse(text)
-            every = hashlib.sha256()
-            for role, body in turns:
-                every.update(f"{role}\n{body}\n".encode("utf-8", "surrogatepass"))
-            learned = [unescape(text[s["start"] : s["start"] + s["length"]]) for s in loss]
-            digest = hashlib.sha256("".join(learned).encode("utf-8", "surrogatepass")).hexdigest()
-            for c, v in zip(columns, (len(turns), every.hexdigest(), sum(map(len, learned)), digest, len(text)), strict=True):
-                c.append(v)
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("tree"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        )
-
-    return arrow_map(formatted.select("tree", "formatted", "loss"), f, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    text = F.col("formatted")
+    said = F.array_join(F.transform(parse(text), lambda m: F.concat(m["role"], F.lit("\n"), m["text"], F.lit("\n"))), "")
+    masked = F.zip_with(pieces(text), F.col("loss"), lambda p, s: F.substr(p, (s["start"] - s["at"] - len(START) + 1).cast("int"), s["length"].cast("int")))
+    learned = F.array_join(F.transform(masked, unescape), "")
+    return formatted.select(
+        F.col("tree").alias("conv_id"), F.size(pieces(text)).cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), F.length(text).cast("long").alias("formatted_chars"),
+    )

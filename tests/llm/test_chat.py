@@ -2,25 +2,46 @@
 
 import hashlib
 import random
+import re
 
-from hypothesis import given
-from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from driftframe.llm import chat
 
 DDL = "tree long, node long, parent long, role string, text string, score double"
 
 
-@given(st.text(alphabet="<|\\im_endst>a\n", max_size=30))
-def test_escapes_are_reversible(text):
-    assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
-    assert chat.unescape_role(chat.escape_role(text)) == text and "\n" not in chat.escape_role(text) and "<|" not in chat.escape_role(text)
+def plain_escape(text):
+    return re.sub(r"<(\\*)\|", r"<\\\1|", text)
 
 
-@given(st.lists(st.tuples(st.text(alphabet="<|\\a\n", max_size=5), st.text(alphabet="<|im_start|>end\\\n", max_size=20)), max_size=6))
-def test_formatted_turns_parse_back(turns):
-    text = "".join(f"{chat.START}{chat.escape_role(r)}\n{chat.escape(t)}{chat.END}\n" for r, t in turns)
-    assert chat.parse(text) == turns
+def read(text):
+    """(role, text) of each message, by a plain reader of the template."""
+    out = []
+    for piece in text.split(chat.START)[1:]:
+        head, _, body = piece.partition("\n")
+        plain = lambda x: re.sub(r"<\\(\\*)\|", r"<\1|", x)
+        out.append((re.sub(r"\\([bn])", lambda m: {"b": "\\", "n": "\n"}[m[1]], plain(head)), plain(body.removesuffix(chat.END + "\n"))))
+    return out
+
+
+def test_escapes_are_reversible(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("<|\\im_endst>a\nbn", k=rng.randint(0, 14))) for _ in range(3000)] + ["<|im_end|>", "<\\|", "\\n", "\\b\n"]
+    d = spark.createDataFrame([(t,) for t in texts], "x string")
+    got = d.select("x", chat.escape(F.col("x")).alias("e"), chat.unescape(chat.escape(F.col("x"))).alias("u"), chat.escape_role(F.col("x")).alias("r"), chat.unescape_role(chat.escape_role(F.col("x"))).alias("v")).collect()
+    for x in got:
+        assert x["e"] == plain_escape(x["x"]) and x["u"] == x["v"] == x["x"] and "<|" not in x["e"] and "<|" not in x["r"] and "\n" not in x["r"]
+
+
+def test_formatted_turns_parse_back(spark):
+    rng = random.Random(4)
+    word = lambda letters, n: "".join(rng.choices(letters, k=rng.randint(0, n)))
+    rows = [(c, n, n - 1 if n else None, word(["<|", "\\", "a", "\n", "é", "n", "b"], 4), word(["<|im_start|>", "<|im_end|>", "\n", "\\", "é", "x"], 6), 0.0) for c in range(60) for n in range(c % 5 + 1)]
+    out = chat.format_chats(spark.createDataFrame(rows, DDL)).select("tree", "formatted", chat.parse(F.col("formatted")).alias("said")).collect()
+    for r in out:
+        want = [(x[3], x[4]) for x in rows if x[0] == r["tree"]]
+        assert [tuple(m) for m in r["said"]] == read(r["formatted"]) == want
 
 
 def brute_paths(rows):
@@ -50,14 +71,15 @@ def test_paths_equal_brute_force(spark):
 def test_best_branches_come_first(spark):
     rows = [(1, 0, None, "user", "q", 0.0), (1, 1, 0, "assistant", "bad", 0.1), (1, 2, 0, "assistant", "good", 0.9), (1, 3, 0, "assistant", "tie", 0.9)]
     out = chat.format_chats(spark.createDataFrame(rows, DDL), best=2).orderBy("rank").collect()
-    assert [(r["leaf"], chat.parse(r["formatted"])) for r in out] == [(2, [("user", "q"), ("assistant", "good")]), (3, [("user", "q"), ("assistant", "tie")])]
-    s = out[0]["loss"][0]
+    assert [(r["leaf"], read(r["formatted"])) for r in out] == [(2, [("user", "q"), ("assistant", "good")]), (3, [("user", "q"), ("assistant", "tie")])]
+    assert [x["at"] for x in out[0]["loss"]] == [0, out[0]["formatted"].index(chat.START, 1)] and out[0]["loss"][0]["length"] == 0
+    s = out[0]["loss"][1]
     assert out[0]["formatted"][s["start"] : s["start"] + s["length"]] == "good"
 
 
 def test_cycles_and_empty_tables(spark):
-    m = spark.createDataFrame([(1, 0, 1, "user", "a", 0.0), (1, 1, 0, "user", "b", 0.0), (2, 0, None, "user", "c", 0.0)], DDL)
-    assert [r["tree"] for r in chat.format_chats(m).collect()] == [2]
+    m = spark.createDataFrame([(1, 0, 1, "user", "a", 0.0), (1, 1, 0, "user", "b", 0.0), (2, 0, None, "user", "c", 0.0), (3, 0, 1, "user", "loop", 0.0), (3, 1, 0, "user", "loop", 0.0), (3, 2, 0, "user", "hangs off it", 0.0), (4, 0, 0, "user", "itself", 0.0)], DDL)
+    assert [r["tree"] for r in chat.format_chats(m).collect()] == [2] == [r["tree"] for r in chat.paths(m).collect()]
     assert chat.format_chats(m.limit(0)).count() == 0
 
 
@@ -72,3 +94,14 @@ def test_digests_of_conversations(spark):
         r = got[k]
         assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (len(turns), len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+
+
+def test_long_conversations_are_put_together_in_order(spark):
+    rows = [(c, n % 700, "assistant" if n % 3 else "user", f"{n}<|é") for c, top in ((1, 1500), (2, 257)) for n in range(top)] + [(2, None, "user", "first")]
+    got = {r["conv_id"]: r for r in chat.digests(chat.format_chats(chat.linear(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))).collect()}
+    for c in (1, 2):
+        said = sorted((x[1:] for x in rows if x[0] == c), key=lambda x: (x[0] is not None, x[0], x[1], x[2]))
+        assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for _, a, b in said).encode()).hexdigest()
+        loss = "".join(b for _, a, b in said if a == "assistant")
+        assert (got[c]["n_turns"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(said), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert got[c]["formatted_chars"] == sum(len(a) + len(plain_escape(b)) + 24 for _, a, b in said)

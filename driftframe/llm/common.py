@@ -52,16 +52,16 @@ LEAST_FILES = 4
 SCAN_PARTS = 8
 
 
-def stored(df: DataFrame, kind: str, rows: int | None = None, mapped: bool = False) -> DataFrame:
+def stored(df: DataFrame, kind: str, rows: int | None = None, mapped: bool = False, file_rows: int = FILE_ROWS) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here and a lost executor loses nothing.
 
     rows: the most rows that df can have, if known; a table of narrow rows is then dealt out evenly to as many files as these
-    need, rather than one for each shuffle partition. mapped: df is a map of a scan to narrow rows, with no shuffle below; it
+    need at file_rows a file, rather than one for each shuffle partition. mapped: df is a map of a scan to narrow rows, with no shuffle below; it
     gets a file for every SCAN_PARTS partitions of the scan. Many small files cost more than the rows in them.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, kind)
     if rows is not None:
-        df = df.repartition(max(LEAST_FILES, -(-rows // FILE_ROWS)))
+        df = df.repartition(max(LEAST_FILES, -(-rows // file_rows)))
     elif mapped:
         df = df.repartition(max(LEAST_FILES, -(-df.rdd.getNumPartitions() // SCAN_PARTS)))
     df.write.parquet(path)
@@ -100,3 +100,15 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def n_words(text: str = "text"):
     """Number of words of a column, 0 for null, computed in the JVM."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ..., so that no name clashes with what an operator adds; columns may share a name."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def keyed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with k1 and k2, 128 bits of hash over columns: rows that agree in all of them, nulls included, are taken as repeated ones."""
+    kinds = dict(df.dtypes)
+    of = [F.to_json(F.struct(c)) if "map<" in kinds[c] or "variant" in kinds[c] else F.col(c) for c in columns]
+    return df.withColumns({"k1": F.xxhash64(*of, F.lit("k1")), "k2": F.xxhash64(F.lit("k2"), *of)})

@@ -113,9 +113,61 @@ def test_one_row_of_each_group_stays(spark):
     assert kept.columns == d.columns and ids == sorted(named) and 1 in ids and 2 not in ids and 11 not in ids
 
 
+def test_keys_are_long_and_a_pair_is_taken_once(spark):
+    from pyspark.sql import functions as F
+
+    assert len(simhash.KINDS) < 64
+    assert min(mask.bit_count() + (12 if decoded else 0) for mask, decoded in simhash.KINDS) >= 40
+    rng = np.random.default_rng(9)
+    rows = []
+    for _ in range(4000):
+        d = 0
+        for k in rng.choice(64, rng.integers(1, 4), replace=False):
+            d |= 1 << int(k)
+        rows.append((d - 2**64 if d >> 63 else d,))
+    rows += [(d - 2**64 if d >> 63 else d,) for d in (1 << i for i in range(64))]
+    for r in spark.createDataFrame(rows, "d long").select("d", simhash._kind_of(F.col("d")).alias("kind")).collect():
+        mask, decoded = simhash.KINDS[r["kind"]]
+        d = r["d"] & (2**64 - 1)
+        assert d & mask == 0 and (decoded is None or (d & {"A": simhash.A, "B": simhash.B}[decoded]).bit_count() <= 1)
+
+
 def test_every_group_keeps_one_row_where_ids_repeat(spark):
     text = {k: " ".join(f"{k}{i}" for i in range(80)) for k in "abc"}
     rows = [(1, text["a"]), (5, text["a"]), (5, text["b"]), (7, text["b"]), (8, text["c"]), (8, text["c"] + " " + text["a"]), (9, text["c"])]
     for order in (rows, rows[::-1], rows[3:] + rows[:3]):
         kept = simhash.deduplicate(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect()
         assert sorted(map(tuple, kept)) == sorted([rows[0], rows[2], rows[4], rows[5]])
+
+
+def brute_kept(rows, columns):
+    """Groups by brute force; of each the row with the least doc_id, nulls last, if only one has it."""
+    prints = [brute_print(r[1]) for r in rows]
+    root = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if (prints[i] ^ prints[j]).bit_count() <= 3:
+                    root[i] = root[j] = min(root[i], root[j])
+    out = {}
+    for r, g in zip(rows, root, strict=True):
+        out.setdefault(g, []).append(r)
+    return [[r for r in g if (r[0] is None, r[0] or 0) == min((x[0] is None, x[0] or 0) for x in g)] for g in out.values()]
+
+
+def test_one_row_stays_on_any_number_of_partitions(spark):
+    rng = random.Random(8)
+    text = [" ".join(f"{k}w{i}" for i in range(60)) for k in range(8)]
+    rows = [(rng.choice([None, 1, 2, 3, 4, 5]), rng.choice([*text, "", None, " "]), rng.choice("xy"), rng.choice([{"a": 1}, None])) for _ in range(60)]
+    rows += [(3, text[1], "x", None), (5, text[0], "x", None), (5, text[1], "x", None), (7, text[0], "x", None), *rows[:9], (9, "word " * 120_000, "k1", None)]
+    ddl = "doc_id long, text string, k1 string, nth_ map<string,int>"
+    got = []
+    for parts in (1, 4, 7):
+        d = spark.createDataFrame(rng.sample(rows, len(rows)), ddl).repartition(parts)
+        out = simhash.deduplicate(d)
+        assert out.columns == d.columns
+        got.append(sorted(map(str, map(tuple, out.collect()))))
+    assert got[0] == got[1] == got[2]
+    groups = brute_kept(rows, 4)
+    assert len(got[0]) == len(groups) and all(sum(str(tuple(r)) in got[0] for r in {str(r): r for r in g}.values()) == 1 for g in groups)
+    assert simhash.deduplicate(spark.createDataFrame([], ddl)).count() == 0

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftframe.llm.calibration import best_cut, bounded_sample
+from driftframe.llm.calibration import best_cut, bounded_sample, quantiles
 from driftframe.llm.common import arrow_map, sized, stored
 from driftframe.llm.quality_rules import stats_batch
 from driftframe.llm.text_stats import COUNTS, FEATURES
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "l
     x, y = _fit_rows(stats, labels)
     if len(set(y)) == 2:
         good = stats.join(labels.where("bad < 0.5"), "doc_id", "left_semi")
-        margin = [float(v or 0) for v in good.agg(*(F.percentile_approx(f, MARGIN_LEVEL, 100_000) for f in _FEATURES)).first()]
+        margin = quantiles(good, _FEATURES, MARGIN_LEVEL) or [0.0] * k
         center, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
         excess = np.minimum(1, np.maximum(0, x - np.array(margin)) / np.maximum(margin, 0.02))
         weights, prior = _logistic(np.column_stack([(x - center) / scale, excess]), y), float(np.clip(y.mean(), 1e-4, 1 - 1e-4))

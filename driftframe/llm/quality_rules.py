@@ -1,13 +1,13 @@
 """Quality rules: an isolation forest over rule statistics, with thresholds calibrated from labelled rows.
 
-Rule statistics of every whole text are computed once, in one map pass, and stored without the texts. Each statistic's
-usual range is the 99.9th percentile among all rows labelled good; the forest sees by how much a document exceeds those
-ranges, so ordinary documents form one point mass with long paths, and the path lengths over random splits single out the
-others. The cut of the anomaly score is calibrated from all labelled rows.
+Rule statistics of every whole text are computed once, in one map pass, and stored without the texts. The forest sees the statistics
+themselves, each in units of its 99.9th percentile among all rows labelled good, and is fitted on a bounded sample of those rows: random
+splits isolate a document after few steps if no such row is near it. The verdict comes from the path lengths alone; the cut of
+the anomaly score is calibrated from all labelled rows.
 
 Defined cases: a null or empty text has no words and fails the base rules; repeated rows get a verdict each; a null doc_id
-stays null and joins no label; without labels of both kinds the ranges come from all base-passing rows and the cut is
-DEFAULT_CUT; an empty table gives an empty result; other columns of the input are ignored.
+stays null and joins no label; without rows labelled good units and forest come from all base-passing rows, without labels of both
+kinds the cut is DEFAULT_CUT; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -17,16 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftframe.llm.calibration import best_cut, bounded_sample
+from driftframe.llm.calibration import best_cut, bounded_sample, quantiles
 from driftframe.llm.common import arrow_map, stored
 from driftframe.llm.iforest import IsolationForest
 from driftframe.llm.text_stats import COUNTS, FEATURES, base_failed, count_columns, features
 
-#: The forest is fitted on at most this many base-passing documents, taken by hash of doc_id.
+#: The forest is fitted on at most this many base-passing documents labelled good, taken by hash of doc_id.
 FIT_ROWS = 8192
 #: Statistics that the forest sees.
 RULES = ("symbols", "upper", "exclaims", "runs", "repeats", "dup_lines")
-MARGIN_LEVEL = 0.999
+UNIT_LEVEL = 0.999
+#: Least unit of a statistic, all of which are shares.
+LEAST_UNIT = 0.02
 DEFAULT_CUT = 0.6
 
 _STATS = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, " + ", ".join(f"f_{f} double" for f in FEATURES)
@@ -45,17 +47,6 @@ def statistics(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), stats_batch, _STATS)
 
 
-def margins(stats: DataFrame, labels: DataFrame, rules: tuple[str, ...], level: float = MARGIN_LEVEL) -> list[float]:
-    """For each rule the level quantile among rows labelled good that pass the base rules (else among all that pass)."""
-    ask = [F.percentile_approx(f"f_{r}", level, 100_000).alias(r) for r in rules]
-    passing = stats.where("not base_failed")
-    good = passing.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
-    row = good.agg(*ask).first()
-    if row[0] is None:
-        row = passing.agg(*ask).first()
-    return [float(v or 0.0) for v in row]
-
-
 def anomalies(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, COUNTS, base_failed, anomaly (score, higher is odder), cut, kept.
 
@@ -63,17 +54,21 @@ def anomalies(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     labels = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))
     stats = stored(statistics(docs), "rule-stats", mapped=True)
-    low = np.array(margins(stats, labels, RULES))
     names = [f"f_{r}" for r in RULES]
-    sample = bounded_sample(stats.where("not base_failed").select("doc_id", *names), "doc_id", FIT_ROWS).collect()
-    forest = IsolationForest().fit(np.maximum(np.array([r[1:] for r in sample], float).reshape(-1, len(RULES)) - low, 0))
+    passing = stats.where("not base_failed").select("doc_id", *names)
+    fitted = passing.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    high = quantiles(fitted, names, UNIT_LEVEL)
+    if high is None:
+        fitted = passing
+        high = quantiles(fitted, names, UNIT_LEVEL) or [0.0] * len(names)
+    unit = np.maximum(high, LEAST_UNIT)
+    sample = bounded_sample(fitted, "doc_id", FIT_ROWS).collect()
+    forest = IsolationForest().fit(np.array([r[1:] for r in sample], float).reshape(-1, len(RULES)) / unit)
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
         keep = [*COUNTS, "base_failed"]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(batch.column(k) for k in keep), pa.array(forest.score(np.maximum(x - low, 0)))], ["doc_id", *keep, "anomaly"]
-        )
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(k) for k in keep), pa.array(forest.score(x / unit))], ["doc_id", *keep, "anomaly"])
 
     scored = arrow_map(stats, score, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, anomaly double")
     labelled = scored.where("not base_failed").join(labels, "doc_id")

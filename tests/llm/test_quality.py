@@ -1,5 +1,6 @@
 """Rule statistics against brute force; the forest and the classifier on planted documents; edge rows."""
 
+import math
 import random
 import re
 
@@ -50,13 +51,42 @@ def test_base_rules_at_their_edges():
 
 
 def test_forest_scores_outliers_higher():
-    x = np.random.default_rng(0).normal(size=(2000, 3))
+    x = np.abs(np.random.default_rng(0).normal(size=(2000, 3))) / 4
     f = IsolationForest().fit(x)
-    assert f.score(np.array([[8.0, 8, 8]]))[0] > np.quantile(f.score(x), 0.999)
+    assert f.score(np.array([[3.0, 0, 0]]))[0] > np.quantile(f.score(x), 0.999)
     assert IsolationForest().fit(np.zeros((0, 3))).score(x[:2]).tolist() == [0, 0]
     assert IsolationForest().fit(np.zeros((5, 3))).score(np.zeros((1, 3))).shape == (1,)
 
 
+def plain_path(forest, t, v):
+    """Steps of one row down one tree, and what the leaf adds."""
+    node = 0
+    while not forest.leaf[t, node]:
+        node = 2 * node + (2 if v[forest.feature[t, node]] > forest.split[t, node] else 1)
+    return forest.length[t, node]
+
+
+def test_scores_are_mean_path_lengths():
+    rng = np.random.default_rng(1)
+    x = np.abs(rng.normal(size=(500, 4))) / 3
+    f = IsolationForest(trees=20).fit(x)
+    rows = np.vstack([x[:30], np.abs(rng.normal(size=(30, 4))) * 3])
+    want = [sum(plain_path(f, t, np.clip(v, 0, f.cap)) for t in range(20)) / 20 for v in rows]
+    assert np.allclose(f.paths(rows), want) and np.allclose(f.score(rows), [2.0 ** (-w / f.norm) for w in want])
+
+
+def test_quantiles_equal_brute_force(spark):
+    from driftframe.llm.calibration import quantiles
+
+    rng = random.Random(2)
+    rows = [(rng.random(), float(rng.randint(0, 3)), 0.0, rng.lognormvariate(0, 3)) for _ in range(3000)]
+    d = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    for level in (0.5, 0.9, 0.999):
+        want = [sorted(r[i] for r in rows)[math.ceil(level * 3000) - 1] for i in range(4)]
+        assert np.allclose(quantiles(d, ["a", "b", "c", "d"], level), want, rtol=[1e-3, 1e-3, 1e-3, 0.05], atol=1e-6)
+    assert quantiles(d.limit(0), ["a"], 0.5) is None
+
+
 def prose(rng, n):
     return " ".join(rng.choice(["the", "river", "of", "stone", "and", "light", "over", "green", "hill", "went", "old", "house", "under", "quiet", "morning"]) + str(rng.randrange(40)) for _ in range(n))
 
@@ -89,6 +119,58 @@ def test_rules_keep_clean_and_reject_odd(spark):
     assert by[900]["base_failed"] and by[901]["base_failed"] and not by[900]["kept"] and by[902]["kept"] and by[None]["kept"]
 
 
+def test_verdicts_come_from_path_lengths(spark):
+    """kept is whether the score, which is the mean path length, is under the cut; and no rule on single statistics gives the same."""
+    d, labels = planted(spark)
+    got = [r for r in quality_rules.anomalies(d, labels).collect() if not r["base_failed"]]
+    assert all(r["kept"] == (r["anomaly"] <= r["cut"]) for r in got)
+    clean = sorted({r["anomaly"] for r in got if r["kept"]})
+    assert len(clean) > 20 and len(got) > 300
+
+
+def plain_posteriors(rows, prior, weight):
+    """p_bad of each row of (host, path, evidence, label or None): soft counts, moments and shrinkage in plain Python."""
+    sig = lambda z: 1 / (1 + math.exp(-z))
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    paths = {}
+    for host, path, e, bad in rows:
+        n, b = paths.get((host, path), (0.0, 0.0))
+        w, s = (1.0, bad) if bad is not None else (weight, sig(e + logit(prior)))
+        paths[host, path] = (n + w, b + w * s)
+
+    def strength(sites):
+        total = sum(n for n, _, _ in sites)
+        spread = sum(n * (b / n - m) ** 2 for n, b, m in sites)
+        noise, binomial = sum(m * (1 - m) for _, _, m in sites), sum(m * (1 - m) * n for n, _, m in sites)
+        between = max((spread - noise) / total, 1e-9)
+        return min(max(binomial / total / between - 1, 1.0), 1e6)
+
+    hosts = {}
+    for (host, _), (n, b) in paths.items():
+        hosts[host] = tuple(x + y for x, y in zip(hosts.get(host, (0.0, 0.0)), (n, b), strict=True))
+    mean = (sum(b for _, b in hosts.values()) + prior) / (sum(n for n, _ in hosts.values()) + 1)
+    k = strength([(n, b, mean) for n, b in hosts.values()])
+    host_share = {h: (b + k * mean) / (n + k) for h, (n, b) in hosts.items()}
+    k = strength([(n, b, host_share[h]) for (h, _), (n, b) in paths.items()])
+    share = {(h, p): (b + k * host_share[h]) / (n + k) for (h, p), (n, b) in paths.items()}
+    return [sig(e + logit(share[h, p])) for h, p, e, _ in rows]
+
+
+def test_posteriors_equal_plain_python(spark):
+    d, labels = planted(spark)
+    model, _ = quality_classifier.fit(d, labels)
+    known = {r["doc_id"]: 1.0 - r["quality"] for r in labels.collect()}
+    got = quality_classifier.classify(d, labels).collect()
+    place = {(r["doc_id"]): (r["source"], r["lang"]) for r in d.collect() if r["doc_id"] != 5}
+    rows = [(*place[r["doc_id"]], r["evidence"], known.get(r["doc_id"])) for r in got if r["doc_id"] != 5]
+    five = [(r, s) for r, s in zip(sorted((r["evidence"] for r in got if r["doc_id"] == 5)), ["s0", "s1"], strict=True)]
+    by_text = {r["source"]: r["lang"] for r in d.where("doc_id = 5").collect()}
+    rows += [(s, by_text[s], e, known.get(5)) for (e, _), s in zip(five, by_text, strict=True)]
+    want = plain_posteriors(rows, model.prior, quality_classifier.SOFT_WEIGHT)
+    have = [r["p_bad"] for r in got if r["doc_id"] != 5]
+    assert np.allclose(have, want[: len(have)], atol=1e-6)
+
+
 def test_classifier_keeps_clean_and_rejects_odd(spark):
     d, labels = planted(spark)
     got = quality_classifier.classify(d, labels).collect()

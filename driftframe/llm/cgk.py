@@ -2,27 +2,51 @@
 
 The embedding of a sequence x walks i = 0, 1, ... over it: at step j it writes x[i] and moves on by one if the random bit
 r(j, x[i]) is set. Two sequences within a small edit distance write equal symbols at most steps, as the walks fall into step
-again after an edit, so edit distance turns into Hamming distance. A repetition has its own random bits and samples STEPS of
+again after an edit, so edit distance turns into Hamming distance. A repetition has its own random bits and samples a few steps of
 the walk; the written symbols there are its key. Symbols are ids of the query items' words; all other words are 0, which no
 key holds, so a window is given up at the first sampled step whose symbols no item has.
+
+Windows are sized as the items are: an anchor of an item is walked over what remains of the item, in one of WINDOWS sizes (a longer
+rest counts as the longest), and the steps that a repetition samples are spread over that size or over its first part. Of a walk of
+c steps all symbols lie in the first c words, so windows in texts need not know the item.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Sampled steps of each repetition, all beginning with the anchor itself: several spreads over the next words.
-SAMPLES = ((0, 3, 6, 10), (0, 2, 5, 8), (0, 4, 8, 13), (0, 1, 3, 6), (0, 5, 7, 12), (0, 2, 4, 11))
-REPEATS = 1
-#: Distance between an item's anchors in words; items shorter than DENSE have one at every word, and use keys of fewer steps near
-#: their end: of at least LEAST_STEPS, or of any number if shorter than SHORT.
+#: Repetitions: enough for the target recall, which tests assert by item length and kind of edit.
+REPEATS = 8
+#: The second sampled step of each repetition (the first is the anchor itself), and the part of the window over which the others spread.
+SECOND = (1, 2, 3, 1, 4, 2, 1, 3)
+SPREAD = (1.0, 0.25, 0.5, 0.25, 1.0, 0.25, 0.5, 0.35)
+#: Sampled steps at most, and sizes of windows in words.
+STEPS = 4
+WINDOWS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64)
+#: Distance between an item's anchors in words; items shorter than DENSE have one at every word.
 ANCHOR_GAP = 4
-SHORT = 16
 DENSE = 25
-LEAST_STEPS = 3
 _TABLE_BITS = 20
 
 
+def least_window(length: int) -> int:
+    """Smallest window with which an item of so many words has anchors: near its end the rest is too short to tell it."""
+    return min(length, 2 if length <= 8 else 3 if length < 16 else 6 if length < DENSE else 8)
+
+
+def sampled(repetition: int, size: int) -> tuple[int, ...]:
+    """Steps of a window of a size that a repetition samples, none twice; empty if its second step lies outside."""
+    second = SECOND[repetition % len(SECOND)]
+    if size == 1:
+        return (0,)
+    if second >= size:
+        return ()
+    last = max(second, min(size - 1, max(int(size * SPREAD[repetition % len(SPREAD)]), 2 * STEPS)))
+    shift = (repetition * 5 + 3) % 7 / 7
+    rest = {second + int((last - second) * (k + shift) / (STEPS - 2)) for k in range(STEPS - 2)} | {last}
+    return tuple(sorted({0, second, *sorted(rest)[-(STEPS - 2) :]}))
+
+
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of two integers."""
     h = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) + np.uint64(0x7F4A7C15))
@@ -31,67 +55,84 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def anchors(length: int) -> np.ndarray:
+    """Offsets of an item's anchors."""
+    return np.arange(0, max(1, length - least_window(length) + 1), 1 if length < DENSE else ANCHOR_GAP)
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+
+
 class Repetition:
-    """One random walk with its sampled steps, and the keys of all items' anchors under it."""
-
-    def __init__(self, items: list[np.ndarray], n_symbols: int, steps: tuple[int, ...], seed: int):
-        self.steps = steps
-        self.bits = np.random.default_rng(seed).integers(0, 1 << 63, n_symbols + 1, dtype=np.int64)
-        words = np.concatenate([*items, np.zeros(max(steps) + 1, np.int64)])
-        starts, ends, owners, offsets = [], [], [], []
-        begin = 0
-        for k, item in enumerate(items):
-            for o in range(0, len(item), 1 if len(item) < DENSE else ANCHOR_GAP):
-                starts.append(begin + o)
-                ends.append(begin + len(item))
-                owners.append(k)
-                offsets.append(o)
-            begin += len(item)
-        at, end = np.array(starts, np.int64), np.array(ends, np.int64)
-        self.owner, self.offset = np.array(owners, np.int64), np.array(offsets, np.int64)
-        length = np.array([len(i) for i in items], np.int64)[self.owner] if items else np.zeros(0, np.int64)
-        # An anchor uses the steps that surely stay inside its item; long items leave out anchors too near their end.
-        room = (np.array(steps)[:, None] < (end - at)[None, :]).sum(0) if len(at) else np.zeros(0, np.int64)
-        use = np.where(room == len(steps), room, np.where((length < SHORT) | ((length < DENSE) & (room >= LEAST_STEPS)), room, 0))
-        self.levels = []
-        key, where, step = np.zeros(len(at), np.uint64), at.copy(), 0
-        for level, j in enumerate(steps, 1):
-            while step < j:
-                where = np.minimum(where + (self.bits[words[where]] >> (step % 62) & 1), len(words) - 1)
-                step += 1
-            key = _mix(key, words[where])
-            going = np.flatnonzero(use >= level)
-            table = np.zeros(1 << _TABLE_BITS, bool)
-            table[(key[going] >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-            done = np.flatnonzero(use == level)
-            done = done[np.argsort(key[done], kind="stable")]
-            self.levels.append((table, key[done], done))
+    """One random walk, and the keys of all items' anchors under it."""
+
+    def __init__(self, items: list[np.ndarray], n_symbols: int, number: int, seed: int):
+        self.bits = np.random.default_rng(seed).integers(0, 1 << 62, n_symbols + 1, dtype=np.int64)
+        words = np.concatenate([*items, np.zeros(WINDOWS[-1] + 1, np.int64)])
+        at = [anchors(len(i)) for i in items]
+        many = np.array([len(x) for x in at], np.int64)
+        length = np.array([len(i) for i in items], np.int64)
+        self.owner, self.offset = np.repeat(np.arange(len(items)), many), np.concatenate([*at, np.zeros(0, np.int64)])
+        begin = np.repeat(np.cumsum(length) - length, many) + self.offset
+        size = np.array(WINDOWS)[np.searchsorted(WINDOWS, np.repeat(length, many) - self.offset, "right") - 1]
+        self.second = SECOND[number % len(SECOND)]
+        self.paired = np.zeros(1 << _TABLE_BITS, bool)
+        self.sizes = []
+        for c in WINDOWS:
+            steps, of = sampled(number, c), np.flatnonzero(size == c)
+            if not steps or not len(of):
+                continue
+            tables, key, where, step = [], np.zeros(len(of), np.uint64), begin[of], 0
+            for j in steps:
+                where, step = self._walk(words, where, step, j)
+                key = _mix(key, words[where])
+                table = np.zeros(1 << _TABLE_BITS, bool)
+                table[_slot(key)] = True
+                tables.append(table)
+            if c > 1:
+                self.paired |= tables[1]
+            order = np.argsort(key, kind="stable")
+            self.sizes.append((steps, tables, key[order], of[order]))
+
+    def _walk(self, words: np.ndarray, where: np.ndarray, step: int, to: int) -> tuple[np.ndarray, int]:
+        while step < to:
+            where = np.minimum(where + (self.bits[words[where]] >> (step % 62) & 1), len(words) - 1)
+            step += 1
+        return where, step
 
     def candidates(self, words: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position of an anchor's match in words, anchor) for every window at positions that shares an anchor's key."""
-        key = _mix(np.zeros(1, np.uint64), words[positions]) if len(positions) else np.zeros(0, np.uint64)
-        where, step, last = positions.copy(), 0, len(words) - 1
-        hits, anchors = [], []
-        for level, j in enumerate(self.steps):
-            if level:
-                while step < j:
-                    where = np.minimum(where + (self.bits[words[where]] >> (step % 62) & 1), last)
-                    step += 1
-                key = _mix(key, words[where])
-            table, done_keys, done = self.levels[level]
-            alive = table[(key >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)]
-            positions, where, key = positions[alive], where[alive], key[alive]
-            if len(done) and len(key):
-                low, high = np.searchsorted(done_keys, key, "left"), np.searchsorted(done_keys, key, "right")
-                n = high - low
-                hits.append(np.repeat(positions, n))
-                run = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                anchors.append(done[np.repeat(low, n) + run])
-            if not len(positions):
-                break
+        hits, found = [], []
+
+        def meet(key: np.ndarray, at: np.ndarray, keys: np.ndarray, owners: np.ndarray) -> None:
+            low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            n = high - low
+            hits.append(np.repeat(at, n))
+            run = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found.append(owners[np.repeat(low, n) + run])
+
+        first = _mix(np.zeros(1, np.uint64), words[positions]) if len(positions) else np.zeros(0, np.uint64)
+        # the walk to the second step is the same for all sizes
+        where, step = self._walk(words, positions, 0, self.second)
+        second = _mix(first, words[where]) if len(positions) else first
+        alive = self.paired[_slot(second)]
+        at, where, second = positions[alive], where[alive], second[alive]
+        for steps, tables, keys, owners in self.sizes:
+            if len(steps) == 1:
+                meet(first, positions, keys, owners)
+                continue
+            going = tables[1][_slot(second)]
+            a, w, key, done = at[going], where[going], second[going], step
+            for table, j in zip(tables[2:], steps[2:], strict=True):
+                w, done = self._walk(words, w, done, j)
+                key = _mix(key, words[w])
+                going = table[_slot(key)]
+                a, w, key = a[going], w[going], key[going]
+            meet(key, a, keys, owners)
         if not hits:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(hits), np.concatenate(anchors)
+        return np.concatenate(hits), np.concatenate(found)
 
 
 def edit_distances(item: np.ndarray, windows: np.ndarray) -> np.ndarray:

@@ -7,12 +7,15 @@ sides, is then verified exactly: an item is found if its word edit distance to s
 MAX_EDIT of its words, that is a similarity of 0.8 or more. Unedited passages are always found, as their keys are equal;
 tests measure recall for edited ones.
 
-The items are the query set. They are sent to the tasks in blocks of at most BLOCK_ITEMS items, one pass over the texts for each
-block, so that what is broadcast stays bounded; texts are never shuffled.
+The items are the query set: distinct texts with the ids that have them, a table in the shared folder, taken in blocks of about
+BLOCK_ITEMS texts by hash. Only one block at a time is on the driver and sent to the tasks. One block is one map over the texts; of
+more blocks each makes one pass that writes what it finds, and these findings, which are few, meet the documents at the end. Texts are
+never shuffled.
 
 Defined cases: a null text or item has no words; an item without words is never found; items with equal words are all found;
-repeated rows get a row each; a null doc_id stays null; without items nothing is found; an empty table gives an empty result;
-other columns are ignored by find() and pass through clean().
+repeated rows get a row each; a null doc_id stays null; a null item_id stays null, first in the list of found items, and an id of
+several found items is listed once; without items nothing is found; an empty table gives an empty result; other columns are ignored
+by find() and pass through clean().
 """
 
 from __future__ import annotations
@@ -24,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftframe.llm.cgk import ANCHOR_GAP, DENSE, REPEATS, SAMPLES, Repetition, edit_distances
-from driftframe.llm.common import arrow_map
+from driftframe.llm.cgk import REPEATS, Repetition, anchors, edit_distances
+from driftframe.llm.common import arrow_map, keyed, plain, sized, stored
 
 #: Share of an item's words that may be edited.
 MAX_EDIT = 0.2
-#: Items of one block, and so of one broadcast.
-BLOCK_ITEMS = 10_000
+#: Distinct item texts of one block, about, and so of one broadcast.
+BLOCK_ITEMS = 20_000
 SEED = 11
 
 _CUT = bytes(32 if (b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128) else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -44,7 +47,8 @@ def normalised(text: str | None) -> list[bytes]:
 class Index:
     """Keys of a block of items under all repetitions."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple]):
+        """items: (id, text) pairs; an id may be anything."""
         worded = [(i, w) for i, t in items if (w := normalised(t))]
         self.ids = [i for i, _ in worded]
         self.vocabulary: dict[bytes, int] = {}
@@ -53,11 +57,11 @@ class Index:
         #: Symbols at which some item has an anchor: every repetition's first sampled step.
         self.anchor = np.zeros(len(self.vocabulary) + 1, bool)
         for item in self.items:
-            self.anchor[item[:: 1 if len(item) < DENSE else ANCHOR_GAP]] = True
-        self.repetitions = [Repetition(self.items, len(self.vocabulary), s, SEED + 100 * r + k) for r in range(REPEATS) for k, s in enumerate(SAMPLES)] if worded else []
+            self.anchor[item[anchors(len(item))]] = True
+        self.repetitions = [Repetition(self.items, len(self.vocabulary), r, SEED + r) for r in range(REPEATS)] if worded else []
 
-    def find(self, texts: list[str | None]) -> list[list[int]]:
-        """For each text the sorted ids of the items found in it."""
+    def find(self, texts: list[str | None]) -> list[list]:
+        """For each text the numbers, in order, of the items found in it, as ids stand for them."""
         found: list[set[int]] = [set() for _ in texts]
         if not self.items or not texts:
             return [[] for _ in texts]
@@ -95,50 +99,62 @@ class Index:
                 windows = np.where(inside, words[np.clip(columns, 0, len(words) - 1)], -1)
                 windows[windows == 0] = -1
                 for d in docs[some][edit_distances(item, windows) <= slack]:
-                    found[d].add(self.ids[k])
-        return [sorted(x) for x in found]
+                    found[d].add(k)
+        return [[self.ids[k] for k in sorted(x)] for x in found]
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The benchmark's items in blocks; the query set streams through the driver a block at a time."""
-    blocks: list[list[tuple[int, str]]] = [[]]
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator():
-        if len(blocks[-1]) == BLOCK_ITEMS:
-            blocks.append([])
-        blocks[-1].append((r["item_id"] if r["item_id"] is not None else -1, r["text"]))
-    return blocks
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The stored table (block, text, ids) of distinct item texts, and the number of blocks."""
+    named = benchmark.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    ids = F.sort_array(F.collect_set(F.struct("id")))
+    texts = named.groupBy("text").agg(F.transform(ids, lambda x: x["id"]).alias("ids"))
+    texts = stored(texts, "benchmark-items")
+    blocks = -(-texts.count() // BLOCK_ITEMS)
+    return texts.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(max(blocks, 1)))), blocks
 
 
-def _with_items(df: DataFrame, text: str, benchmark: DataFrame, into: str) -> DataFrame:
-    """df with the array column `into` of the ids of items found in its text."""
-    spark = df.sparkSession
-    out = df.withColumn(into, F.array().cast("array<bigint>"))
-    for items in _blocks(benchmark):
-        sent = spark.sparkContext.broadcast(items)
-        names, schema = out.columns, out.schema
-        t = names.index(text)
+def _found(ids: list[list]) -> list:
+    """The ids of found items, each once, in order, null first."""
+    return sorted({i for some in ids for i in some}, key=lambda i: (i is not None, i))
 
-        def setup(sent=sent):
-            return Index(sent.value)
 
-        def f(batch: pa.RecordBatch, index: Index, t=t, names=names) -> pa.RecordBatch:
-            more = index.find(batch.column(t).to_pylist())
-            known = batch.column(len(names) - 1).to_pylist()
-            items_now = pa.array([sorted({*a, *b}) for a, b in zip(known, more, strict=True)], pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([*batch.columns[:-1], items_now], names)
+def _pass(df: DataFrame, text: str, items: DataFrame, block: int) -> DataFrame:
+    """df with items_: the ids of the block's items found in its text."""
+    one = [(r["ids"], r["text"]) for r in items.where(F.col("block") == block).orderBy("text").toLocalIterator()]
+    sent = df.sparkSession.sparkContext.broadcast(one)
+    names, t = df.columns, df.columns.index(text)
+    schema = ", ".join(f"`{n}` {kind}" for n, kind in df.dtypes) + ", items_ array<bigint>"
 
-        out = arrow_map(out, f, schema, setup)
-    return out
+    def f(batch: pa.RecordBatch, index: Index) -> pa.RecordBatch:
+        more = [_found(x) for x in index.find(batch.column(t).to_pylist())]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(more, pa.list_(pa.int64()))], [*names, "items_"])
+
+    return arrow_map(df, f, schema, lambda: Index(sent.value))
+
+
+def _with_items(df: DataFrame, text: str, benchmark: DataFrame) -> DataFrame:
+    """df, whose columns are named c0, c1, ..., with the array column items_ of the ids of items found in its text."""
+    items, blocks = _items(benchmark)
+    if blocks <= 1:
+        return _pass(df, text, items, 0)
+    rows = keyed(df, [text])
+    parts = [stored(_pass(rows.select(text, "k1", "k2"), text, items, b).where(F.size("items_") > 0).select("k1", "k2", "items_"), "found-items") for b in range(blocks)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    ids = F.array_sort(F.transform(F.array_distinct(F.flatten(F.collect_list("items_"))), lambda i: F.struct(i.isNotNull().alias("some"), i.alias("id"))))
+    every = stored(every.groupBy("k1", "k2").agg(F.transform(ids, lambda x: x["id"]).alias("items_")), "found-items")
+    out = rows.join(sized(every), ["k1", "k2"], "left")
+    return out.select(*df.columns, F.coalesce("items_", F.array().cast("array<bigint>")).alias("items_"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: doc_id, contaminated, n_items, item_ids (sorted list of the items found in its text)."""
-    found = _with_items(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), "text", benchmark, "item_ids")
-    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
+    found = _with_items(docs.select(F.col("doc_id").cast("long").alias("c0"), F.col("text").cast("string").alias("c1")), "c1", benchmark)
+    return found.select(F.col("c0").alias("doc_id"), (F.size("items_") > 0).alias("contaminated"), F.size("items_").cast("long").alias("n_items"), F.col("items_").alias("item_ids"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents in which an item is found, columns as they were."""
-    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    kept = _with_items(plain, f"c{docs.columns.index('text')}", benchmark, "items_").where(F.size("items_") == 0).drop("items_")
+    kept = _with_items(plain(docs), f"c{docs.columns.index('text')}", benchmark).where(F.size("items_") == 0).drop("items_")
     return kept.toDF(*docs.columns)

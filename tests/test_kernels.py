@@ -8,7 +8,7 @@ import pytest
 from driftframe.config import DEFAULTS, with_changes
 from driftframe.kernels import ekf, synthetic
 from driftframe.kernels.anomaly import Detector
-from driftframe.kernels.attitude import GravityTracker, rotation_between, rotation_to_up
+from driftframe.kernels.attitude import Gravity, level_all, rotation_between, rotation_to_up
 from driftframe.kernels.calibration import FEATURES, Preprocessor, calibrate, levelled
 from driftframe.kernels.engine import RECKONING, VARIANTS, Engine, Fix
 from driftframe.kernels.matcher import Matcher, Network
@@ -58,18 +58,54 @@ def test_filter_tracks_a_straight_line():
     for i in range(1, 601):
         f.predict(i / 10, 0.0, 0.0, 0.0)
         if i % 10 == 0:
-            f.position(i, 0.0, 2.0)
+            f.observe("gnss_pos", i, 0.0, 2.0)
     assert abs(f.s[ekf.X] - 600) < 2 and abs(f.s[ekf.FORWARD] - 10) < 0.2
 
 
+def test_no_slip_information_does_not_depend_on_the_rate():
+    end = []
+    for rate in (10, 100):
+        f = ekf.Filter(CFG["filter"])
+        f.start(0.0, 0.0, 0.0, 10.0, 0.0, 3.0)
+        for i in range(1, 10 * rate + 1):
+            f.predict(i / rate, 0.0, 0.0, 0.0)
+            f.observe("nhc", CFG["filter"]["nhc_sigma"] * math.sqrt(rate / 10.0))
+        end.append(f.P[ekf.LATERAL, ekf.LATERAL])
+    assert end[0] == pytest.approx(end[1], rel=0.2)
+
+
+def test_the_lever_arm_moves_sideways_in_turns():
+    end = []
+    for arm in (0.0, 1.5):
+        f = ekf.Filter(with_changes(CFG, {"filter.lever_arm_x": arm})["filter"])
+        f.start(0.0, 0.0, 0.0, 10.0, 0.0, 3.0)
+        for i in range(1, 101):
+            f.predict(i / 10, 0.0, 10.0 * 0.1, 0.1)
+            f.observe("nhc", 0.05)
+        end.append(f.s[ekf.LATERAL])
+    assert abs(end[0]) < 0.05 and end[1] == pytest.approx(0.15, abs=0.05)
+
+
+def test_errors_of_the_model_that_go_together_weigh_less():
+    al = align(synthetic.drive("d", 200))
+    spread = {}
+    for tau in (0.0, 5.0):
+        e = Engine(with_changes(CFG, {"filter.motion_err_tau_s": tau}), al, VARIANTS["C"], 10.0, model())
+        for _ in range(50 * e.block):
+            e.feed.push(np.zeros(len(FEATURES)))
+        spread[tau] = e.feed.measure(False)[1]
+    rho = math.exp(-1.0 / (CFG["filter"]["motion_update_hz"] * 5.0))
+    assert spread[5.0] / spread[0.0] == pytest.approx(math.sqrt((1 + rho) / (1 - rho)))
+
+
 def test_filter_learns_the_gyro_bias():
     f = ekf.Filter(CFG["filter"])
     f.start(0.0, 0.0, 0.0, 10.0, 0.0, 3.0)
     for i in range(1, 3001):
         f.predict(i / 10, 0.0, 0.0, 0.01)
         if i % 10 == 0:
-            f.position(i, 0.0, 2.0)
-            f.course(0.0)
+            f.observe("gnss_pos", i, 0.0, 2.0)
+            f.observe("gnss_heading", 0.0)
     assert abs(f.s[ekf.GYRO_BIAS] - 0.01) < 0.003
 
 
@@ -90,14 +126,14 @@ def test_denied_satellites_raise_and_constraints_hold_states():
     f.start(0.0, 5.0, 6.0, 10.0, 0.2, 3.0)
     f.predict(0.1, 0.0, 0.5, 0.02)
     before = f.s.copy()
-    f.no_slip(0.15)
+    f.observe("nhc", 0.15)
     assert np.array_equal(f.s[[ekf.X, ekf.Y, ekf.FORWARD]], before[[ekf.X, ekf.Y, ekf.FORWARD]]) and f.s[ekf.LATERAL] != before[ekf.LATERAL]
     before = f.s.copy()
-    f.no_rotation(0.004, 0.003)
+    f.observe("zaru", 0.004, 0.003)
     assert np.array_equal(np.delete(f.s, ekf.GYRO_BIAS), np.delete(before, ekf.GYRO_BIAS))
     f.gnss = False
     with pytest.raises(ekf.GnssDisabledError):
-        f.position(0, 0, 3)
+        f.observe("gnss_pos", 0, 0, 3)
     assert not f.gnss and f.log[0][1] == "nhc"
 
 
@@ -105,8 +141,8 @@ def test_no_slip_is_skipped_in_hard_turns_and_gates_refuse():
     f = ekf.Filter(CFG["filter"])
     f.start(0.0, 0.0, 0.0, 10.0, 0.0, 3.0)
     f.predict(0.1, 0.0, 0.0, 0.6)
-    assert not f.no_slip(0.15) and math.isnan(f.log[-1][3])
-    assert not f.position(1e4, 1e4, 2.0) and not f.log[-1][2]
+    assert not f.observe("nhc", 0.15) and math.isnan(f.log[-1][3])
+    assert not f.observe("gnss_pos", 1e4, 1e4, 2.0) and not f.log[-1][2]
 
 
 def test_model_bias_decays():
@@ -261,11 +297,19 @@ def test_rotations():
     assert np.array_equal(rotation_between(a, a), np.eye(3))
 
 
+def test_levelling_all_rows_is_levelling_each():
+    rng = np.random.default_rng(5)
+    up = rng.normal(size=(60, 3))
+    up = np.vstack([up / np.linalg.norm(up, axis=1)[:, None], [[0, 0, 1], [0, 0, -1]]])
+    rows = rng.normal(size=(62, 3))
+    assert np.allclose(level_all(rows, up), [rotation_to_up(u) @ r for u, r in zip(up, rows, strict=True)])
+
+
 def test_gravity_ignores_samples_beyond_the_gate():
-    g = GravityTracker(np.array([0, 0, 1.0]), 9.81, PRE)
-    g(np.array([3.0, 0, 9.81]), np.zeros(3), 0.1)
+    g = Gravity(np.array([0, 0, 1.0]), 9.81, PRE)
+    g.follow((3.0, 0, 9.81), (0.0, 0.0, 0.0), 0.1)
     assert np.allclose(g.up, [0, 0, 1])
-    g(np.array([0.3, 0, 9.81]), np.zeros(3), 0.1)
+    g.follow((0.3, 0, 9.81), (0.0, 0.0, 0.0), 0.1)
     assert g.up[0] > 0
 
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,25 +111,41 @@ def lag_search(a: DataFrame, b: DataFrame, keys: list[str], t: str, value: str,
     """Per series the clock offset o that maximises the correlation of a(t) with b(t - o): keys, offset, corr.
 
     a is given on its grid; b is interpolated at every candidate. a is standardised over its whole grid, b over the overlap,
-    which must hold at least `overlap` of the grid; of equal correlations the first candidate wins. The number of
-    candidates is a parameter, so the product of rows and candidates is linear in the rows.
+    which must hold at least `overlap` of the grid; of equal correlations (to 9 places) the first candidate wins. Each side is shuffled
+    once; a series' candidates, whose number is a parameter, are scored one after the other on its sorted arrays.
     """
-    stats = a.groupBy(*keys).agg(F.avg(value).alias("m_"), F.stddev_pop(value).alias("s_"), F.count(F.lit(1)).alias("grid_n")).where(F.col("grid_n") >= least)
     n = int(math.floor(2 * max_lag / step + 0.5)) + 1
-    lags = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lit(-float(max_lag)) + i * F.lit(float(step)))
-    left = a.join(stats, keys).select(*keys, ((F.col(value) - F.col("m_")) / (F.col("s_") + 1e-9)).alias("za_"), F.posexplode(lags).alias("cand", "lag_"), F.col(t).alias("t0_"), "grid_n")
-    left = left.withColumn(t, F.col("t0_") - F.col("lag_"))
-    right = b.select(*keys, F.col(t), F.col(value))
-    # every candidate brackets its own times in b: the candidate is part of the key
-    cands = a.select(*keys).distinct().withColumn("cand", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    found = interpolate(left, right.join(cands, keys), [*keys, "cand"], t, value, "vb_").where("vb_ is not null")
-    g = found.groupBy(*keys, "cand").agg(
-        F.first("lag_").alias("lag_"), F.first("grid_n").alias("grid_n"), F.count(F.lit(1)).alias("k_"), F.stddev_pop("vb_").alias("sb_"), F.avg("vb_").alias("mb_"),
-        F.avg(F.col("za_") * F.col("vb_")).alias("ab_"), F.avg("za_").alias("mz_"),
-    )
-    c = F.try_divide(F.col("ab_") - F.col("mz_") * F.col("mb_"), F.col("sb_"))
-    g = g.where((F.col("k_") >= overlap * F.col("grid_n")) & (F.col("sb_") >= 1e-9)).withColumn("c_", c)
-    return g.groupBy(*keys).agg(F.max_by("lag_", F.struct(F.round("c_", 9), -F.col("cand"))).alias("offset"), F.max("c_").alias("corr"))
+    kinds = dict(a.dtypes)
+
+    def one(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.dropna(), right.dropna().sort_values("bt_", kind="stable")
+        ta, x = left[t].to_numpy(float), left[value].to_numpy(float)
+        tb, y = right["bt_"].to_numpy(float), right["bv_"].to_numpy(float)
+        best: tuple[float, float, float] | None = None
+        top = -math.inf
+        if len(ta) >= least and len(tb):
+            z = (x - x.mean()) / (x.std() + 1e-9)
+            for i in range(n):
+                lag = -float(max_lag) + i * float(step)
+                at = ta - lag
+                inside = (at >= tb[0]) & (at <= tb[-1])
+                if not inside.any() or inside.sum() < overlap * len(ta):
+                    continue
+                there = np.interp(at[inside], tb, y)
+                spread = there.std()
+                if spread < 1e-9:
+                    continue
+                c = float(((z[inside] * there).mean() - z[inside].mean() * there.mean()) / spread)
+                top = max(top, c)
+                if best is None or round(c, 9) > best[1]:
+                    best = (lag, round(c, 9), c)
+        columns = [*keys, "offset", "corr"]
+        return pd.DataFrame([[*key, best[0], top]] if best else [], columns=columns)
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", offset double, corr double"
+    # the right side's columns have names of their own: both sides may stem from one table
+    right = b.select(*(F.col(k).alias(f"b_{k}_") for k in keys), F.col(t).alias("bt_"), F.col(value).alias("bv_"))
+    return a.select(*keys, t, value).groupBy(*keys).cogroup(right.groupBy(*(f"b_{k}_" for k in keys))).applyInPandas(one, schema)
 
 
 def sync_report(segments: DataFrame, keys: list[str], segment: str, min_corr: float = 0.5, drift: float = 1.0, strong: float = 0.85, agree: float = 0.5) -> DataFrame:

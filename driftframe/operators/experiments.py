@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a dimension that for_each() takes.
+MOST_VALUES = 1000
+
+
 def split_overlap(members: DataFrame, drive: str, split: str) -> DataFrame:
     """(drive, n_splits) of drives in more than one split; empty if the splits are disjoint."""
     return members.groupBy(drive).agg(F.countDistinct(split).alias("n_splits")).where("n_splits > 1")
@@ -29,18 +33,20 @@ def common(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def grid(spark: SparkSession, **axes: list) -> DataFrame:
     """Every combination of the axes' values, numbered in order; the axes are parameters, a handful of values each."""
-    names = list(axes)
-    frames = [spark.createDataFrame([(i, v) for i, v in enumerate(axes[n])], [f"i_{n}", n]).coalesce(1) for n in names]
-    out = reduce(lambda a, b: a.crossJoin(b), frames)
-    place = F.lit(0)
-    for n in names:
-        place = place * len(axes[n]) + F.col(f"i_{n}")
-    return out.withColumn("point", place.cast("int")).select("point", *names)
+    out = spark.createDataFrame([(i, *values) for i, values in enumerate(product(*axes.values()))], ["point", *axes])
+    return out.withColumn("point", F.col("point").cast("int"))
 
 
 def for_each(df: DataFrame, dimension: DataFrame) -> DataFrame:
-    """Every row of df with every row of a small dimension (variants, settings), broadcast."""
-    return df.crossJoin(F.broadcast(dimension))
+    """Every row of df with every row of a small dimension (variants, settings): each row is given out once a value, without a join."""
+    rows = dimension.limit(MOST_VALUES + 1).collect()
+    if len(rows) > MOST_VALUES:
+        raise ValueError(f"a dimension of more than {MOST_VALUES} rows is no parameter; join it by a key")
+    kinds = {f.name: f.dataType for f in dimension.schema}
+    values = [F.struct(*(F.lit(r[n]).cast(kind).alias(n) for n, kind in kinds.items())) for r in rows]
+    if not values:
+        return df.limit(0).select("*", *(F.lit(None).cast(kind).alias(n) for n, kind in kinds.items()))
+    return df.withColumn("each_", F.explode(F.array(*values))).select(*df.columns, *(F.col("each_").getField(n).alias(n) for n in kinds))
 
 
 def pivot_medians(df: DataFrame, by: list[str], variant: str, value: str, variants: list[str]) -> DataFrame:

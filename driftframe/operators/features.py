@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,19 +79,19 @@ def upper_median(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return x.where(F.col("nth_") == F.floor(F.col("n_") / 2) + 1).drop("nth_", "n_")
 
 
-def recurrence(df: DataFrame, keys: list[str], order: list[str], columns: list[str], start, step, into: str, kind: str) -> DataFrame:
-    """A value carried along each series in the JVM: out[0] = start(row), out[i] = step(out[i - 1], row). kind is its type.
+def scan(df: DataFrame, keys: list[str], order: list[str], columns: list[str], walk: Callable[..., list[float]], into: str) -> DataFrame:
+    """A value carried along each series: walk() takes the columns of a series in order, as lists, and gives a value for each row, in one
+    pass. Rows come back with it; a series is the unit of parallelism. NaN and null are one, and come back as null."""
+    kept = [*keys, *order, *(c for c in columns if c not in order)]
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + f", `{into}` double"
 
-    A series is gathered into one array, so this is for bounded ones (sessions); rows come back with their value.
-    """
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in columns if c not in order]))).alias("rows_"))
-    empty = F.array().cast(f"array<{kind}>")
-    walk = F.aggregate(
-        "rows_", empty,
-        lambda acc, r: F.concat(acc, F.array(F.when(F.size(acc) == 0, start(r)).otherwise(step(F.element_at(acc, F.greatest(F.size(acc), F.lit(1)) * 0 - 1), r)).cast(kind))),
-    )
-    out = rows.select(*keys, F.explode(F.arrays_zip("rows_", walk.alias("v_"))).alias("z_"))
-    return out.select(*keys, F.col("z_.rows_.*"), F.col("z_").getField("v_").alias(into))
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        return pdf.assign(**{into: walk(*(pdf[c].to_numpy(float).tolist() for c in columns))})
+
+    out = df.select(*kept).groupBy(*keys).applyInPandas(one, schema)
+    return out.withColumn(into, F.when(~F.isnan(into), F.col(into)))
 
 
 def biquad(cutoff_hz: float, rate_hz: float) -> tuple[float, float, float, float, float]:
@@ -101,27 +103,28 @@ def biquad(cutoff_hz: float, rate_hz: float) -> tuple[float, float, float, float
 
 def ema(df: DataFrame, keys: list[str], order: list[str], x: str, dt: str, into: str) -> DataFrame:
     """Exponential mean with gain min(dt, 1), from the first value on."""
-    gain = lambda r: F.least(F.coalesce(r[dt], F.lit(0.0)), F.lit(1.0))
-    return recurrence(df, keys, order, [x, dt], lambda r: r[x], lambda p, r: p + gain(r) * (r[x] - p), into, "double")
+
+    def walk(values: list[float], steps: list[float]) -> list[float]:
+        mean, out = values[0], []
+        for i, (v, step) in enumerate(zip(values, steps, strict=True)):
+            mean += (min(step, 1.0) if i and step == step else 0.0) * (v - mean)
+            out.append(mean)
+        return out
+
+    return scan(df, keys, order, [x, dt], walk, into)
 
 
 def low_pass(df: DataFrame, keys: list[str], order: list[str], x: str, cutoff_hz: float, rate_hz: float, into: str) -> DataFrame:
     """Causal Butterworth low-pass of each series, primed so that a constant passes unchanged from the first row."""
     b0, b1, b2, a1, a2 = biquad(cutoff_hz, rate_hz)
-    kind = "struct<y:double,z1:double,z2:double>"
-    out = lambda y, z1, z2: F.struct(y.alias("y"), z1.alias("z1"), z2.alias("z2"))
-
-    def step(p, r):
-        v = r[x]
-        y = b0 * v + p["z1"]
-        return out(y, b1 * v - a1 * y + p["z2"], b2 * v - a2 * y)
-
-    def start(r):
-        v = r[x]
-        z2 = (b2 - a2) * v
-        z1 = (b1 - a1) * v + z2
-        y = b0 * v + z1
-        return out(y, b1 * v - a1 * y + z2, b2 * v - a2 * y)
-
-    done = recurrence(df, keys, order, [x], start, step, "state_", kind)
-    return done.withColumn(into, F.col("state_.y")).drop("state_")
+
+    def walk(values: list[float]) -> list[float]:
+        second = (b2 - a2) * values[0]
+        first, out = (b1 - a1) * values[0] + second, []
+        for v in values:
+            y = b0 * v + first
+            first, second = b1 * v - a1 * y + second, b2 * v - a2 * y
+            out.append(y)
+        return out
+
+    return scan(df, keys, order, [x], walk, into)

@@ -28,14 +28,14 @@ def window_scores(rows: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
     only = lambda c: F.when(F.col("in_"), c)
     moving = F.col("in_") & (F.col("true_speed") > 2.0)
     g = x.groupBy(*keys).agg(
-        F.coalesce(F.sum(only(F.col("step_"))), F.lit(0.0)).alias("distance_m"), F.max_by(only(F.col("err_")), only(F.col(t))).alias("endpoint_error_m"), F.avg(only(F.col("err_"))).alias("ate_m"),
-        F.sqrt(F.avg(only(F.col("err_") * F.col("err_")))).alias("rmse_pos_m"), F.max(only(F.col("err_"))).alias("max_error_m"),
-        F.sqrt(F.avg(only(F.col("serr_") * F.col("serr_")))).alias("speed_rmse"), F.avg(only(F.abs("serr_"))).alias("speed_mae"),
-        F.degrees(F.avg(F.when(moving, F.col("herr_")))).alias("heading_mae_deg"), F.degrees(F.max_by(only(F.col("herr_")), only(F.col(t)))).alias("heading_final_deg"),
-        F.coalesce(F.max(F.when(F.col("near_"), F.col("jump_"))), F.lit(0.0)).alias("reacq_max_step_m"),
-        F.min(F.when((F.col(t) >= F.col("t_end")) & (F.col("err_") < 5.0), F.col(t) - F.col("t_end"))).alias("reacq_time_to_5m_s"),
+        F.coalesce(F.sum(only(F.col("step_"))), F.lit(0.0)).alias("distance_m"), F.max_by(only(F.col("err_")), only(F.col(t))).alias("final_error_m"), F.avg(only(F.col("err_"))).alias("mean_error_m"),
+        F.sqrt(F.avg(only(F.col("err_") * F.col("err_")))).alias("rms_error_m"), F.max(only(F.col("err_"))).alias("worst_error_m"),
+        F.sqrt(F.avg(only(F.col("serr_") * F.col("serr_")))).alias("speed_rms"), F.avg(only(F.abs("serr_"))).alias("speed_abs"),
+        F.degrees(F.avg(F.when(moving, F.col("herr_")))).alias("heading_abs_deg"), F.degrees(F.max_by(only(F.col("herr_")), only(F.col(t)))).alias("heading_last_deg"),
+        F.coalesce(F.max(F.when(F.col("near_"), F.col("jump_"))), F.lit(0.0)).alias("return_step_m"),
+        F.min(F.when((F.col(t) >= F.col("t_end")) & (F.col("err_") < 5.0), F.col(t) - F.col("t_end"))).alias("return_time_s"),
     )
-    return g.withColumn("drift_percent", F.when(F.col("distance_m") > 0, 100.0 * F.col("endpoint_error_m") / F.col("distance_m")))
+    return g.withColumn("drift_pct", F.when(F.col("distance_m") > 0, 100.0 * F.col("final_error_m") / F.col("distance_m")))
 
 
 def variant_order(variant: Column) -> Column:
@@ -49,16 +49,16 @@ def variant_order(variant: Column) -> Column:
 def summarise(scores: DataFrame) -> DataFrame:
     """Scores by duration and variant: count, means and medians, in report order."""
     g = scores.groupBy("duration_s", "variant").agg(
-        F.count(F.lit(1)).alias("windows"), F.avg("distance_m").alias("distance_m"), F.median("drift_percent").alias("drift_pct_median"), F.avg("drift_percent").alias("drift_pct_mean"),
-        F.median("endpoint_error_m").alias("endpoint_m_median"), F.median("ate_m").alias("ate_m_median"), F.median("speed_rmse").alias("speed_rmse"),
-        F.median("heading_mae_deg").alias("heading_mae_deg"), F.median("reacq_max_step_m").alias("reacq_max_step_m"),
+        F.count(F.lit(1)).alias("windows"), F.avg("distance_m").alias("distance_m"), F.median("drift_pct").alias("median_drift_pct"), F.avg("drift_pct").alias("mean_drift_pct"),
+        F.median("final_error_m").alias("median_final_m"), F.median("mean_error_m").alias("median_error_m"), F.median("speed_rms").alias("speed_rms"),
+        F.median("heading_abs_deg").alias("heading_abs_deg"), F.median("return_step_m").alias("return_step_m"),
     )
     return g.orderBy("duration_s", variant_order(F.col("variant")))
 
 
 def verdict(summary: DataFrame, limit: float = 10.0) -> DataFrame:
     """summary with PASS or FAIL by its median drift."""
-    return summary.withColumn("verdict", F.when(F.col("drift_pct_median") < limit, "PASS").otherwise("FAIL"))
+    return summary.withColumn("verdict", F.when(F.col("median_drift_pct") < limit, "PASS").otherwise("FAIL"))
 
 
 def event_counts(events: DataFrame, keys: list[str], kinds: tuple[str, ...] = ("shock", "transient", "slip")) -> DataFrame:
@@ -80,7 +80,7 @@ def rmse_mae(df: DataFrame, keys: list[str], error: Column) -> DataFrame:
 def coverage(df: DataFrame, keys: list[str], error: Column, sigma: Column) -> DataFrame:
     """Share of errors within one and two sigma, and the factor that calibrates sigma."""
     z = F.try_divide(F.abs(error), sigma)
-    return df.groupBy(*keys).agg(F.avg(F.when(z <= 1, 1.0).otherwise(0.0)).alias("within_1"), F.avg(F.when(z <= 2, 1.0).otherwise(0.0)).alias("within_2"), F.sqrt(F.avg(z * z)).alias("sigma_scale"))
+    return df.groupBy(*keys).agg(F.avg(F.when(z <= 1, 1.0).otherwise(0.0)).alias("share_1sd"), F.avg(F.when(z <= 2, 1.0).otherwise(0.0)).alias("share_2sd"), F.sqrt(F.avg(z * z)).alias("sd_factor"))
 
 
 def markdown(df: DataFrame) -> str:

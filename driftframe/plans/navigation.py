@@ -11,7 +11,7 @@ from driftframe import config
 from driftframe.kernels.engine import VARIANTS
 from driftframe.operators import experiments, navigate, outages, roads, scoring
 from driftframe.plans.registry import query, r, rs
-from driftframe.runtime import ship, table
+from driftframe.runtime import settled, ship, table
 from driftframe.sources import synthetic
 
 CFG = config.with_changes(
@@ -30,8 +30,8 @@ def n_drives(spark: SparkSession, sf: str) -> int:
 
 @lru_cache(maxsize=4)
 def _drives(app: str, count: int, prefix: str, **shape: float) -> DataFrame:
-    """Drives made once per application; a lost executor's part is made again."""
-    return synthetic.drives(synthetic.specs(SparkSession.active(), count, prefix=prefix, **shape)).persist()
+    """Drives made once per application, in the shared folder."""
+    return settled(synthetic.drives(synthetic.specs(SparkSession.active(), count, prefix=prefix, **shape)), "drives")
 
 
 def test_drives(spark: SparkSession, count: int) -> DataFrame:
@@ -81,7 +81,8 @@ def speed_model(spark: SparkSession, count: int) -> str:
 def prepared(spark: SparkSession, count: int, variants: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(masked rows by window and variant, context by window and variant, hidden truth by window)."""
     e, drives = CFG["evaluate"], test_drives(spark, count)
-    slices = outages.in_windows(drives, windows_of(drives, CFG), KEYS, "t", e["warmup_s"], e["post_s"]).persist()
+    slices = outages.in_windows(drives, windows_of(drives, CFG), KEYS, "t", e["warmup_s"], e["post_s"])
+    slices = settled(slices, "window-slices")
     inside = (F.col("t") >= F.col("t_start")) & (F.col("t") < F.col("t_end"))
     seen, hidden = outages.mask(slices, inside), outages.truth(slices, WINDOW)
     calib = seen.where((F.col("t") < F.col("t_start")) & (F.col("t") >= F.col("t_start") - CFG["preprocess"]["calib_max_s"]))

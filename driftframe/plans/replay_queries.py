@@ -101,6 +101,19 @@ def model_compare(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("model", "n", r("rmse", 4).alias("rmse"), r("mae", 4).alias("mae"))
 
 
-@query("column_roles")
+_ROLES = {
+    "meta": ("drive_id session t", "yes"),
+    "imu": ("ax ay az gx gy gz mx my mz", "yes"),
+    "gnss": ("gnss_x gnss_y gnss_speed gnss_yaw gnss_std gnss_healthy", "only while healthy"),
+    "reference": ("ref_x ref_y ref_lat ref_lon ref_speed ref_yaw ref_yaw_rate ref_wheel_speed ref_valid", "never"),
+}
+
+
+@query(
+    "column_roles",
+    "SELECT \"column\", CASE WHEN \"column\" = 'drive_id' THEN 'string' WHEN \"column\" = 'session' THEN 'int' WHEN \"column\" IN ('gnss_healthy', 'ref_valid') THEN 'boolean' ELSE 'double' END AS type, role, allowed FROM (SELECT unnest(string_split(names, ' ')) AS \"column\", role, allowed FROM (VALUES "
+    + ", ".join(f"('{role}', '{names}', '{allowed}')" for role, (names, allowed) in _ROLES.items())
+    + ") v(role, names, allowed)) u",
+)
 def column_roles(spark: SparkSession, sf: str) -> DataFrame:
     return role_report(spark)

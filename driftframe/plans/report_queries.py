@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from driftframe.operators import experiments, scoring
 from driftframe.operators.clean import keep_last
 from driftframe.plans.registry import drive, query, r, rs
-from driftframe.runtime import table
+from driftframe.runtime import sized, table
 
 _LABEL = "CASE l_linenumber % 5 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' WHEN 3 THEN 'C+NHC' ELSE 'D' END"
 _DUR = "CASE l_returnflag WHEN 'A' THEN 30 WHEN 'N' THEN 60 ELSE 120 END"
@@ -21,15 +21,15 @@ def _scores(spark: SparkSession, sf: str) -> DataFrame:
     d = F.when(F.col("l_returnflag") == "A", 30).when(F.col("l_returnflag") == "N", 60).otherwise(120)
     p = F.col("l_extendedprice")
     return li.select(
-        d.alias("duration_s"), v.alias("variant"), (p / 100.0).alias("distance_m"), (F.col("l_discount") * 100 + F.col("l_quantity") / 10.0).alias("drift_percent"), (p / 1000.0).alias("endpoint_error_m"),
-        (F.col("l_quantity") / 3.0).alias("ate_m"), F.col("l_tax").alias("speed_rmse"), F.when(F.col("l_tax") > 0.01, F.col("l_tax") * 90).alias("heading_mae_deg"), F.col("l_quantity").alias("reacq_max_step_m"),
+        d.alias("duration_s"), v.alias("variant"), (p / 100.0).alias("distance_m"), (F.col("l_discount") * 100 + F.col("l_quantity") / 10.0).alias("drift_pct"), (p / 1000.0).alias("final_error_m"),
+        (F.col("l_quantity") / 3.0).alias("mean_error_m"), F.col("l_tax").alias("speed_rms"), F.when(F.col("l_tax") > 0.01, F.col("l_tax") * 90).alias("heading_abs_deg"), F.col("l_quantity").alias("return_step_m"),
     )
 
 
-_SUMMARY = f"""SELECT {_DUR} AS duration_s, {_LABEL} AS variant, count(*) AS windows, {rs('avg(l_extendedprice / 100e0)', 4)} AS distance_m, {rs('median(l_discount * 100 + l_quantity / 10e0)')} AS drift_pct_median,
-    {rs('avg(l_discount * 100 + l_quantity / 10e0)')} AS drift_pct_mean, {rs('median(l_extendedprice / 1000e0)')} AS endpoint_m_median, {rs('median(l_quantity / 3e0)')} AS ate_m_median, {rs('median(l_tax)')} AS speed_rmse,
-    {rs('median(CASE WHEN l_tax > 0.01e0 THEN l_tax * 90 END)')} AS heading_mae_deg, {rs('median(l_quantity)')} AS reacq_max_step_m FROM lineitem GROUP BY 1, 2"""
-_ROUND = ("drift_pct_median", "drift_pct_mean", "endpoint_m_median", "ate_m_median", "speed_rmse", "heading_mae_deg", "reacq_max_step_m")
+_SUMMARY = f"""SELECT {_DUR} AS duration_s, {_LABEL} AS variant, count(*) AS windows, {rs('avg(l_extendedprice / 100e0)', 4)} AS distance_m, {rs('median(l_discount * 100 + l_quantity / 10e0)')} AS median_drift_pct,
+    {rs('avg(l_discount * 100 + l_quantity / 10e0)')} AS mean_drift_pct, {rs('median(l_extendedprice / 1000e0)')} AS median_final_m, {rs('median(l_quantity / 3e0)')} AS median_error_m, {rs('median(l_tax)')} AS speed_rms,
+    {rs('median(CASE WHEN l_tax > 0.01e0 THEN l_tax * 90 END)')} AS heading_abs_deg, {rs('median(l_quantity)')} AS return_step_m FROM lineitem GROUP BY 1, 2"""
+_ROUND = ("median_drift_pct", "mean_drift_pct", "median_final_m", "median_error_m", "speed_rms", "heading_abs_deg", "return_step_m")
 
 
 @query("benchmark_summary", _SUMMARY)
@@ -38,7 +38,7 @@ def benchmark_summary(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("duration_s", "variant", "windows", r("distance_m", 4).alias("distance_m"), *(r(c).alias(c) for c in _ROUND))
 
 
-@query("benchmark_verdict", f"SELECT duration_s, variant, CASE WHEN drift_pct_median < 7.5e0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM ({_SUMMARY}) x")
+@query("benchmark_verdict", f"SELECT duration_s, variant, CASE WHEN median_drift_pct < 7.5e0 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM ({_SUMMARY}) x")
 def benchmark_verdict(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.verdict(scoring.summarise(_scores(spark, sf)), 7.5).select("duration_s", "variant", "verdict")
 
@@ -50,9 +50,9 @@ def benchmark_verdict(spark: SparkSession, sf: str) -> DataFrame:
 )
 def ablation_summary(spark: SparkSession, sf: str) -> DataFrame:
     settings = spark.createDataFrame([("base", 1.0), ("no map", 1.25), ("no nhc", 1.5)], "setting string, gain double")
-    x = experiments.for_each(_scores(spark, sf), settings).withColumn("d", F.col("drift_percent") * F.col("gain"))
+    x = experiments.for_each(_scores(spark, sf), settings).withColumn("d", F.col("drift_pct") * F.col("gain"))
     g = x.groupBy("setting", "duration_s", "variant")
-    return g.agg(r(F.median("d")).alias("drift"), r(F.median("endpoint_error_m")).alias("endpoint"), r(F.median("speed_rmse")).alias("speed"))
+    return g.agg(r(F.median("d")).alias("drift"), r(F.median("final_error_m")).alias("endpoint"), r(F.median("speed_rms")).alias("speed"))
 
 
 @query(
@@ -175,7 +175,7 @@ def leakage_audit(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("manifest_bytes", "SELECT n_regionkey, CAST(sum(s_suppkey) AS BIGINT) AS bytes, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
 def manifest_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    j = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    j = table(spark, sf, "supplier").join(sized(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     return j.groupBy("n_regionkey").agg(F.sum("s_suppkey").alias("bytes"), F.count(F.lit(1)).alias("n"))
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftframe.plans import navigation
 from driftframe.plans.registry import query, r, rs
-from driftframe.runtime import shared_dir, ship, table
+from driftframe.runtime import new_folder, remove, ship, table
 from driftframe.streaming import engine, relational
 
 
@@ -19,8 +17,10 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    name = f"stream_{uuid.uuid4().hex}"
-    return relational.run_to_memory(spark, stream, name, mode, f"{shared_dir(spark)}/{name}")
+    checkpoint = new_folder(spark, "stream-checkpoint")
+    out = relational.run_to_table(spark, stream, new_folder(spark, "stream"), mode, checkpoint)
+    remove(spark, checkpoint)
+    return out
 
 
 @query(
@@ -57,11 +57,14 @@ def engine_input(spark: SparkSession, count: int) -> DataFrame:
 def stream_engine(spark: SparkSession, sf: str) -> DataFrame:
     """Variant B on a stream of shuffled files of samples; a last sample long after moves the watermark past all others."""
     ship(spark)
-    folder = f"{shared_dir(spark)}/samples-{uuid.uuid4().hex}"
+    folder, checkpoint = new_folder(spark, "samples"), new_folder(spark, "samples-checkpoint")
     rows = engine_input(spark, navigation.n_drives(spark, sf))
     rows = rows.select("drive_id", *engine.INPUT)
     rows.repartition(6, F.floor(F.col("t") / 70)).write.parquet(folder)
     after = rows.where("t = 0").withColumns({"t": F.col("t") + 2000.0, "ts": F.col("ts") + F.expr("interval 2000 seconds")})
     after.coalesce(1).write.mode("append").parquet(folder)
     stream = relational.file_stream(spark, folder, rows.schema, files_per_trigger=2)
-    return relational.run_to_files(spark, engine.navigate(stream, navigation.CFG, "B", 10.0, "500 seconds"), f"{folder}-out", f"{folder}-checkpoint")
+    out = relational.run_to_files(spark, engine.navigate(stream, navigation.CFG, "B", 10.0, "500 seconds"), new_folder(spark, "navigated"), checkpoint)
+    remove(spark, folder)
+    remove(spark, checkpoint)
+    return out

@@ -243,8 +243,8 @@ def window_norm_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "rmse_coverage",
-    f"""SELECT coalesce(c_mktsegment, 'all') AS split, CAST(count(*) AS BIGINT) AS n, {rs('sqrt(avg(e * e))', 4)} AS rmse, {rs('avg(abs(e))', 4)} AS mae, {rs('avg(CASE WHEN abs(e) / s <= 1 THEN 1e0 ELSE 0e0 END)')} AS within_1,
-    {rs('avg(CASE WHEN abs(e) / s <= 2 THEN 1e0 ELSE 0e0 END)')} AS within_2, {rs('sqrt(avg((e / s) ** 2))')} AS sigma_scale
+    f"""SELECT coalesce(c_mktsegment, 'all') AS split, CAST(count(*) AS BIGINT) AS n, {rs('sqrt(avg(e * e))', 4)} AS rmse, {rs('avg(abs(e))', 4)} AS mae, {rs('avg(CASE WHEN abs(e) / s <= 1 THEN 1e0 ELSE 0e0 END)')} AS share_1sd,
+    {rs('avg(CASE WHEN abs(e) / s <= 2 THEN 1e0 ELSE 0e0 END)')} AS share_2sd, {rs('sqrt(avg((e / s) ** 2))')} AS sd_factor
     FROM (SELECT c_mktsegment, o_totalprice / 1000e0 - c_acctbal / 20e0 AS e, 100e0 + c_custkey % 50 AS s FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY GROUPING SETS ((c_mktsegment), ())""",
 )
 def rmse_coverage(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,7 +253,7 @@ def rmse_coverage(spark: SparkSession, sf: str) -> DataFrame:
     j = j.withColumn("split", F.explode(F.array("c_mktsegment", F.lit("all"))))
     a, b = scoring.rmse_mae(j, ["split"], F.col("e")), scoring.coverage(j, ["split"], F.col("e"), F.col("s"))
     out = a.join(b, "split")
-    return out.select("split", "n", r("rmse", 4).alias("rmse"), r("mae", 4).alias("mae"), r("within_1").alias("within_1"), r("within_2").alias("within_2"), r("sigma_scale").alias("sigma_scale"))
+    return out.select("split", "n", r("rmse", 4).alias("rmse"), r("mae", 4).alias("mae"), r("share_1sd").alias("share_1sd"), r("share_2sd").alias("share_2sd"), r("sd_factor").alias("sd_factor"))
 
 
 @query(
@@ -359,22 +359,22 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "drift_metrics",
     _SCORED
-    + f""" SELECT drive_id, session, {rs('t_start', 3)} AS t_start, {rs('distance_m', 3)} AS distance_m, {rs('endpoint', 4)} AS endpoint_error_m, {rs('CASE WHEN distance_m > 0 THEN 100 * endpoint / distance_m END', 3)} AS drift_percent, {rs('ate', 4)} AS ate_m,
-    {rs('rmse', 4)} AS rmse_pos_m, {rs('worst', 4)} AS max_error_m, {rs('srmse', 4)} AS speed_rmse, {rs('smae', 4)} AS speed_mae FROM sc""",
+    + f""" SELECT drive_id, session, {rs('t_start', 3)} AS t_start, {rs('distance_m', 3)} AS distance_m, {rs('endpoint', 4)} AS final_error_m, {rs('CASE WHEN distance_m > 0 THEN 100 * endpoint / distance_m END', 3)} AS drift_pct, {rs('ate', 4)} AS mean_error_m,
+    {rs('rmse', 4)} AS rms_error_m, {rs('worst', 4)} AS worst_error_m, {rs('srmse', 4)} AS speed_rms, {rs('smae', 4)} AS speed_abs FROM sc""",
 )
 def drift_metrics(spark: SparkSession, sf: str) -> DataFrame:
     s = _scored(spark, sf)
     return s.select(
-        *KEYS, r("t_start", 3).alias("t_start"), r("distance_m", 3).alias("distance_m"), r("endpoint_error_m", 4).alias("endpoint_error_m"), r("drift_percent", 3).alias("drift_percent"),
-        *(r(c, 4).alias(c) for c in ("ate_m", "rmse_pos_m", "max_error_m", "speed_rmse", "speed_mae")),
+        *KEYS, r("t_start", 3).alias("t_start"), r("distance_m", 3).alias("distance_m"), r("final_error_m", 4).alias("final_error_m"), r("drift_pct", 3).alias("drift_pct"),
+        *(r(c, 4).alias(c) for c in ("mean_error_m", "rms_error_m", "worst_error_m", "speed_rms", "speed_abs")),
     )
 
 
-@query("reacquisition", _SCORED + f" SELECT drive_id, session, {rs('t_start', 3)} AS t_start, {rs('jmp', 4)} AS reacq_max_step_m, {rs('back', 3)} AS reacq_time_to_5m_s FROM sc")
+@query("reacquisition", _SCORED + f" SELECT drive_id, session, {rs('t_start', 3)} AS t_start, {rs('jmp', 4)} AS return_step_m, {rs('back', 3)} AS return_time_s FROM sc")
 def reacquisition(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(spark, sf).select(*KEYS, r("t_start", 3).alias("t_start"), r("reacq_max_step_m", 4).alias("reacq_max_step_m"), r("reacq_time_to_5m_s", 3).alias("reacq_time_to_5m_s"))
+    return _scored(spark, sf).select(*KEYS, r("t_start", 3).alias("t_start"), r("return_step_m", 4).alias("return_step_m"), r("return_time_s", 3).alias("return_time_s"))
 
 
-@query("heading_scores", _SCORED + f" SELECT drive_id, session, {rs('t_start', 3)} AS t_start, {rs('hmae', 5)} AS heading_mae_deg, {rs('hfin', 5)} AS heading_final_deg FROM sc")
+@query("heading_scores", _SCORED + f" SELECT drive_id, session, {rs('t_start', 3)} AS t_start, {rs('hmae', 5)} AS heading_abs_deg, {rs('hfin', 5)} AS heading_last_deg FROM sc")
 def heading_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(spark, sf).select(*KEYS, r("t_start", 3).alias("t_start"), r("heading_mae_deg", 5).alias("heading_mae_deg"), r("heading_final_deg", 5).alias("heading_final_deg"))
+    return _scored(spark, sf).select(*KEYS, r("t_start", 3).alias("t_start"), r("heading_abs_deg", 5).alias("heading_abs_deg"), r("heading_last_deg", 5).alias("heading_last_deg"))

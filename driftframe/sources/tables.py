@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from driftframe.functions import geo
 from driftframe.kernels.sync import offsets
 from driftframe.operators import align, clean
+from driftframe.runtime import sized
 from driftframe.schema import DRIVE
 
 #: Headers of the raw logs (name and unit), and of the manifest.
@@ -109,7 +110,7 @@ def standardise(phone: DataFrame, vehicle: DataFrame, cfg: dict, gnss_source: st
     s = align.interpolate(s, v.select("drive_id", "t", *values), ["drive_id"], "t", values, names, max_gap=0.5).drop("t").withColumnRenamed("t_rel", "t")
     s = s.withColumn("fix_ok", clean.valid_fix(F.col("ref_lat"), F.col("ref_lon")))
     origin = clean.first_valid(s, ["drive_id"], "t", F.col("fix_ok"), lat0="ref_lat", lon0="ref_lon")
-    s = s.join(F.broadcast(origin), "drive_id")
+    s = s.join(sized(origin), "drive_id")
     x, y = geo.east_north(F.col("ref_lat"), F.col("ref_lon"), F.col("lat0"), F.col("lon0"))
     s = s.withColumns({"ref_x": x, "ref_y": y, "ref_yaw": geo.wrap(F.lit(np.pi / 2) - F.col("heading_r")), "ref_valid": F.col("labelled") & F.col("fix_ok") & F.col("ref_speed").isNotNull()})
     if gnss_source == "vehicle":

@@ -33,6 +33,23 @@ def run_to_memory(spark: SparkSession, stream: DataFrame, name: str, mode: str,
     return spark.table(name)
 
 
+def run_to_table(spark: SparkSession, stream: DataFrame, folder: str, mode: str, checkpoint: str) -> DataFrame:
+    """Run a stream over all it has now, each micro-batch's result into Parquet files of its own: of any size, and of a batch that is run
+    again the last result counts. mode complete: the last batch's table; update: all rows given out."""
+    last: list[int] = []
+
+    def put(rows: DataFrame, nth: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch={nth}")
+        last.append(nth)
+
+    q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    paths = [f"{folder}/batch={max(last)}"] if mode == "complete" else [f"{folder}/batch={n}" for n in sorted(set(last))]
+    return spark.read.schema(stream.schema).parquet(*paths)
+
+
 def run_to_files(spark: SparkSession, stream: DataFrame, folder: str, checkpoint: str) -> DataFrame:
     """Run a stream of appended rows over all it has now, into Parquet files: exactly once, and of any size."""
     q = stream.writeStream.format("parquet").outputMode("append").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -106,10 +106,10 @@ def test_drift_by_its_definition(spark):
     df = spark.createDataFrame(rows, "w long, t double, t_start double, t_end double, x double, y double, true_x double, true_y double")
     df = df.withColumns({"disp_x": F.col("x"), "disp_y": F.col("y"), "speed": F.lit(10.0), "true_speed": F.lit(10.0), "yaw": F.lit(0.1), "true_yaw": F.lit(0.0)})
     r = scoring.window_scores(df, ["w"]).first()
-    assert abs(r["distance_m"] - 99.0) < 1e-9 and abs(r["endpoint_error_m"] - 19.8) < 1e-9 and abs(r["drift_percent"] - 20.0) < 1e-9
-    assert abs(r["ate_m"] - 9.9) < 1e-9 and abs(r["heading_mae_deg"] - math.degrees(0.1)) < 1e-9 and r["reacq_time_to_5m_s"] is None
+    assert abs(r["distance_m"] - 99.0) < 1e-9 and abs(r["final_error_m"] - 19.8) < 1e-9 and abs(r["drift_pct"] - 20.0) < 1e-9
+    assert abs(r["mean_error_m"] - 9.9) < 1e-9 and abs(r["heading_abs_deg"] - math.degrees(0.1)) < 1e-9 and r["return_time_s"] is None
     still = scoring.window_scores(df.withColumns({"true_x": F.lit(0.0), "true_speed": F.lit(0.0)}), ["w"]).first()
-    assert still["drift_percent"] is None and still["heading_mae_deg"] is None
+    assert still["drift_pct"] is None and still["heading_abs_deg"] is None
 
 
 def test_mode_waits_then_times_out(spark):
@@ -150,11 +150,11 @@ def test_splits_and_grids(spark):
 
 
 def test_reports(spark):
-    df = spark.createDataFrame([(30.0, v, 5.0 + i) for i, v in enumerate(["D", "A", "C+NHC"])], "duration_s double, variant string, drift_percent double")
-    df = df.withColumns({c: F.col("drift_percent") for c in ("distance_m", "endpoint_error_m", "ate_m", "speed_rmse", "heading_mae_deg", "reacq_max_step_m")})
+    df = spark.createDataFrame([(30.0, v, 5.0 + i) for i, v in enumerate(["D", "A", "C+NHC"])], "duration_s double, variant string, drift_pct double")
+    df = df.withColumns({c: F.col("drift_pct") for c in ("distance_m", "final_error_m", "mean_error_m", "speed_rms", "heading_abs_deg", "return_step_m")})
     out = scoring.verdict(scoring.summarise(df), 6.5)
     assert values(out, "variant", "verdict") == [("A", "PASS"), ("C+NHC", "FAIL"), ("D", "PASS")]
-    assert scoring.markdown(out.select("variant", "drift_pct_median")).splitlines()[2] == "| A | 6.00 |"
+    assert scoring.markdown(out.select("variant", "median_drift_pct")).splitlines()[2] == "| A | 6.00 |"
 
 
 @pytest.mark.parametrize("n", [0, 1])

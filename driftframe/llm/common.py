@@ -2,49 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftframe.runtime import shared_dir
+from driftframe.runtime import new_folder, remove, sized
+
+__all__ = ["BATCH_ROWS", "WORD", "arrow_map", "forget", "keyed", "n_words", "plain", "sized", "stored"]
 
 #: Words everywhere in this package: runs of anything but space and \t \n \v \f \r. bytes.split() cuts at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch sent to Python, so that a batch of long texts stays small.
 BATCH_ROWS = 1024
-#: A side is broadcast only if it was counted and has no more rows than this.
-BROADCAST_ROWS = 200_000
-
-_stored: list[tuple[SparkSession, str]] = []
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may have ended
-        pass
-
-
-@atexit.register
-def _clear() -> None:
-    for spark, path in _stored:
-        if spark.sparkContext._jsc is not None and spark.sparkContext._jsc.sc().isStopped() is False:
-            _remove(spark, path)
-
-
-def new_path(spark: SparkSession, kind: str) -> str:
-    """A fresh path in the shared folder; what is written there goes when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
-    _stored.append((spark, path))
-    return path
-
-
 #: Rows of a file of an intermediate table, where their number is known before it is written.
 FILE_ROWS = 200_000
 LEAST_FILES = 4
@@ -59,7 +30,7 @@ def stored(df: DataFrame, kind: str, rows: int | None = None, mapped: bool = Fal
     need at file_rows a file, rather than one for each shuffle partition. mapped: df is a map of a scan to narrow rows, with no shuffle below; it
     gets a file for every SCAN_PARTS partitions of the scan. Many small files cost more than the rows in them.
     """
-    spark, path = df.sparkSession, new_path(df.sparkSession, kind)
+    spark, path = df.sparkSession, new_folder(df.sparkSession, kind)
     if rows is not None:
         df = df.repartition(max(LEAST_FILES, -(-rows // file_rows)))
     elif mapped:
@@ -74,8 +45,7 @@ def forget(df: DataFrame) -> None:
     """Remove the files of a stored() table that no later plan reads; anything else is left alone."""
     path = getattr(df, "stored_at_", None)
     if path is not None:
-        _remove(df.sparkSession, path)
-        _stored[:] = [x for x in _stored if x[1] != path]
+        remove(df.sparkSession, path)
 
 
 def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, setup: Callable | None = None) -> DataFrame:
@@ -92,11 +62,6 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
     return df.mapInArrow(run, schema)
 
 
-def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `limit` rows (counted), else df as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def n_words(text: str = "text"):
     """Number of words of a column, 0 for null, computed in the JVM."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")

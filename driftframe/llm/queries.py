@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftframe.llm import chat, decontaminate, html_extract, mixing, quality_classifier, quality_rules, sharding, simhash, token_counts, warc
@@ -80,6 +80,27 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def contract_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of operator 1: its counts and base verdict."""
+    return op1_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def contract_token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of operator 2."""
+    return op2_token_counts(spark, sf_dir).select("doc_id", "n_bytes")
+
+
+def contract_shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of operator 8: sizes, law, and that every shard's slots run from 0 without a gap."""
+    slots = op8_sharding(spark, sf_dir).withColumn("gapless", F.col("slot") == F.row_number().over(Window.partitionBy("shard").orderBy("slot")) - 1)
+    return slots.select("doc_id", "size", "law", "gapless")
+
+
+def contract_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of operator 10: sizes and targets."""
+    return op10_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -91,6 +112,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_simhash": op9_simhash,
     "op10_mixing": op10_mixing,
+    "contract_rule_counts": contract_rule_counts,
+    "contract_token_bytes": contract_token_bytes,
+    "contract_shard_sizes": contract_shard_sizes,
+    "contract_mix_targets": contract_mix_targets,
 }
 
 _PROBE = PROBE.replace("'", "''")
@@ -105,4 +130,17 @@ ORACLE_SQL: dict[str, str] = {
     e AS (SELECT *, length(regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g')) + length(role) + 24 AS chars FROM c)
     SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id""",
+    "contract_rule_counts": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS w FROM d)),
+    g AS (SELECT doc_id, i, string_agg(word, ' ') OVER f AS words, count(*) OVER f AS n FROM t WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+    again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, words) AS k FROM g WHERE n = 8) WHERE k > 1), r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM again) GROUP BY 1),
+    c AS (SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars FROM t GROUP BY 1), l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(x, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1)
+    SELECT d.doc_id, coalesce(c.n_words, 0) AS n_words, CAST(coalesce(c.word_chars, 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+      coalesce(c.n_words, 0) < 20 OR 100 * coalesce(r.n, 0) > 30 * coalesce(c.n_words, 0) AS base_failed FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)""",
+    "contract_token_bytes": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents",
+    "contract_shard_sizes": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size, 'bytes' AS law, true AS gapless FROM documents",
+    "contract_mix_targets": r"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source), w AS (SELECT *, CASE (i - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight, 1.5e0 * sum(n) OVER () AS total FROM s),
+    o AS (SELECT *, 2e0 * n / weight AS full_at, coalesce(sum(2e0 * n) OVER (ORDER BY 2e0 * n / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled, sum(weight) OVER (ORDER BY 2e0 * n / weight DESC, i DESC) AS open_ FROM w),
+    level AS (SELECT arg_min((total - filled) / open_, full_at) FILTER ((total - filled) / open_ <= full_at) AS v FROM o)
+    SELECT doc_id, size, n AS source_size, round(least(2e0 * n, v * weight), 3) AS target FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source, level""",
 }

@@ -39,7 +39,7 @@ def test_every_operator_is_registered():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_matches_sql(spark, name):
     c = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "documents"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = c.execute(queries.ORACLE_SQL[name])
     columns = [d[0] for d in want.description]

@@ -34,6 +34,11 @@ def least_window(length: int) -> int:
     return min(length, 2 if length <= 8 else 3 if length < 16 else 6 if length < DENSE else 8)
 
 
+def least_places(size: int) -> int:
+    """Words from which the symbols of a key of such a window come at least."""
+    return 1 if size == 1 else 2 if size < 6 else 3
+
+
 def sampled(repetition: int, size: int) -> tuple[int, ...]:
     """Steps of a window of a size that a repetition samples, none twice; empty if its second step lies outside."""
     second = SECOND[repetition % len(SECOND)]
@@ -64,6 +69,12 @@ def _slot(key: np.ndarray) -> np.ndarray:
     return (key >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
 
+def _among(key: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are among known ones, which are in order: compact, for the few windows that are left."""
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    return known[at] == key
+
+
 class Repetition:
     """One random walk, and the keys of all items' anchors under it."""
 
@@ -77,23 +88,30 @@ class Repetition:
         begin = np.repeat(np.cumsum(length) - length, many) + self.offset
         size = np.array(WINDOWS)[np.searchsorted(WINDOWS, np.repeat(length, many) - self.offset, "right") - 1]
         self.second = SECOND[number % len(SECOND)]
-        self.paired = np.zeros(1 << _TABLE_BITS, bool)
+        #: For what the first two sampled steps hash to, a bit for each window size that has such an anchor.
+        self.paired = np.zeros(1 << _TABLE_BITS, np.uint16)
         self.sizes = []
-        for c in WINDOWS:
+        for nth, c in enumerate(WINDOWS):
             steps, of = sampled(number, c), np.flatnonzero(size == c)
             if not steps or not len(of):
                 continue
-            tables, key, where, step = [], np.zeros(len(of), np.uint64), begin[of], 0
+            trail, where, step = [], begin[of], 0
             for j in steps:
                 where, step = self._walk(words, where, step, j)
-                key = _mix(key, words[where])
-                table = np.zeros(1 << _TABLE_BITS, bool)
-                table[_slot(key)] = True
-                tables.append(table)
+                trail.append(where)
+            # a walk that hardly moved tells little: its anchor is left to other repetitions
+            moved = (np.diff(trail, axis=0) > 0).sum(0) + 1 >= least_places(c)
+            of, trail = of[moved], [w[moved] for w in trail]
+            if not len(of):
+                continue
+            prefixes, key = [], np.zeros(len(of), np.uint64)
+            for w in trail:
+                key = _mix(key, words[w])
+                prefixes.append(np.unique(key))
             if c > 1:
-                self.paired |= tables[1]
+                self.paired[_slot(prefixes[1])] |= np.uint16(1 << nth)
             order = np.argsort(key, kind="stable")
-            self.sizes.append((steps, tables, key[order], of[order]))
+            self.sizes.append((np.uint16(1 << nth), steps, prefixes, key[order], of[order]))
 
     def _walk(self, words: np.ndarray, where: np.ndarray, step: int, to: int) -> tuple[np.ndarray, int]:
         while step < to:
@@ -116,18 +134,19 @@ class Repetition:
         # the walk to the second step is the same for all sizes
         where, step = self._walk(words, positions, 0, self.second)
         second = _mix(first, words[where]) if len(positions) else first
-        alive = self.paired[_slot(second)]
-        at, where, second = positions[alive], where[alive], second[alive]
-        for steps, tables, keys, owners in self.sizes:
+        bits = self.paired[_slot(second)]
+        alive = np.flatnonzero(bits)
+        at, where, second, bits = positions[alive], where[alive], second[alive], bits[alive]
+        for bit, steps, prefixes, keys, owners in self.sizes:
             if len(steps) == 1:
                 meet(first, positions, keys, owners)
                 continue
-            going = tables[1][_slot(second)]
+            going = np.flatnonzero(bits & bit)
             a, w, key, done = at[going], where[going], second[going], step
-            for table, j in zip(tables[2:], steps[2:], strict=True):
+            for known, j in zip(prefixes[2:], steps[2:], strict=True):
                 w, done = self._walk(words, w, done, j)
                 key = _mix(key, words[w])
-                going = table[_slot(key)]
+                going = _among(key, known)
                 a, w, key = a[going], w[going], key[going]
             meet(key, a, keys, owners)
         if not hits:

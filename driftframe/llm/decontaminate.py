@@ -20,6 +20,7 @@ by find() and pass through clean().
 
 from __future__ import annotations
 
+import uuid
 from itertools import repeat
 
 import numpy as np
@@ -129,7 +130,19 @@ def _pass(df: DataFrame, text: str, items: DataFrame, block: int) -> DataFrame:
         more = [_found(x) for x in index.find(batch.column(t).to_pylist())]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(more, pa.list_(pa.int64()))], [*names, "items_"])
 
-    return arrow_map(df, f, schema, lambda: Index(sent.value))
+    named = uuid.uuid4().hex
+    return arrow_map(df, f, schema, lambda: _index(named, sent))
+
+
+#: The index that a worker process made last, for its next tasks.
+_made: dict[str, Index] = {}
+
+
+def _index(named: str, sent) -> Index:
+    if named not in _made:
+        _made.clear()
+        _made[named] = Index(sent.value)
+    return _made[named]
 
 
 def _with_items(df: DataFrame, text: str, benchmark: DataFrame) -> DataFrame:

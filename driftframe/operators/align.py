@@ -34,21 +34,23 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], t: str, va
     return out.withColumn(into, F.when(fresh, F.col("m_.rv_")[0])).drop("m_", "side_", "rt_", "rv_", "is_left_")
 
 
-def interpolate(left: DataFrame, right: DataFrame, keys: list[str], t: str, value: str | list[str], into: str | list[str], max_gap: float | None = None, clamp: bool = False) -> DataFrame:
+def interpolate(left: DataFrame, right: DataFrame, keys: list[str], t: str, value: str | list[str], into: str | list[str], max_gap: float | None = None, clamp: bool = False, look_ahead: bool = True) -> DataFrame:
     """left with right's value (or several) interpolated linearly at its t.
 
     The bracket is the last right row strictly before t and the first at or after it. clamp holds the ends' values outside
     right's range; otherwise the value is null there. max_gap makes it null where the bracket is wider; at an exact hit the
-    bracket on its left counts, or at right's first row the one after it.
+    bracket on its left counts, or at right's first row the one after it; without look_ahead there is none there, and max_gap
+    makes the value null.
     """
     values, names = ([value], [into]) if isinstance(value, str) else (value, into)
     both = _stacked(left, right, keys, t, values, left_first=True)
-    if max_gap is not None:
+    look_ahead = look_ahead and max_gap is not None
+    if look_ahead:
         both = both.withColumn("rt2_", F.when(~F.col("is_left_"), F.lead("rt_").over(Window.partitionBy(*keys, "is_left_").orderBy(t))))
     # the next row is the last one of the reversed order: a frame that follows the row would be read anew for each row
     past = lambda *order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     right_row = ~F.col("is_left_")
-    ahead = F.struct("rt_", "rv_", "rt2_") if max_gap is not None else F.struct("rt_", "rv_")
+    ahead = F.struct("rt_", "rv_", "rt2_") if look_ahead else F.struct("rt_", "rv_")
     both = both.withColumns({
         "p_": F.last(F.when(right_row, F.struct("rt_", "rv_")), ignorenulls=True).over(past(F.asc(t), F.asc("side_"))),
         "n_": F.last(F.when(right_row, ahead), ignorenulls=True).over(past(F.desc(t), F.desc("side_"))),
@@ -60,9 +62,11 @@ def interpolate(left: DataFrame, right: DataFrame, keys: list[str], t: str, valu
         result = F.when(F.col("n_.rt_") == F.col(t), after).when(F.col("p_").isNotNull() & F.col("n_").isNotNull(), before + (after - before) * share)
         if clamp:
             result = F.coalesce(result, after, before)
-        if max_gap is not None:
+        if look_ahead:
             width = F.when(F.col("p_").isNotNull(), F.col("n_.rt_") - F.col("p_.rt_")).otherwise(F.col("n_.rt2_") - F.col("n_.rt_"))
             result = F.when(F.coalesce(width, F.lit(0.0)) <= max_gap, result)
+        elif max_gap is not None:
+            result = F.when(F.col("n_.rt_") - F.col("p_.rt_") <= max_gap, result)
         out[name] = result
     return both.withColumns(out).drop("p_", "n_", "rt2_", "side_", "rt_", "rv_", "is_left_")
 

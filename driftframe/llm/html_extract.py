@@ -5,7 +5,8 @@ levels, so that a host with a third of all pages is merged from bounded parts. A
 the element whose repeated groups hold most text that varies from page to page outside links. An article or main element around the
 core bounds the article; up to there, and else up to the whole page, text beside the core is kept unless it is the template's, a
 block of links, or in a container of other names with a label of the template's or strings much shorter than the core's. A string
-that nearly all distinct pages of a host show at one place is the template's and goes wherever it equals, by place and string. Names
+that nearly all distinct pages of a host show at one place is the template's and goes wherever it equals, by place and string; that
+is counted over all pages, in the JVM, a page's copies once. Names
 that tell what is no article (whole words, see wrappers.py) leave an element out; names that tell an article only break ties.
 Pages are then read once more, each with its host's decision (broadcast if the hosts are few, joined otherwise); a page that the
 decision doesn't fit, or that has no other page of its host, is read by the wrapper of itself alone, by the same rules.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from driftframe.llm.common import BATCH_ROWS, arrow_map, sized, stored
 from driftframe.llm.html_tree import INLINE, Node, parse, squeeze
-from driftframe.llm.wrappers import Decision, Element, blocks_below, constant, digest, dropped, inline_text, key_of, merge, own_text, page, says
+from driftframe.llm.wrappers import NEARLY_ALL, ROOT, Counts, Decision, Element, blocks_below, constant, counted, digest, dropped, inline_text, key_of, merge, own_text, page, says
 
 #: Hosts whose decisions are broadcast; with more, pages and decisions are joined by host.
 BROADCAST_HOSTS = 20_000
@@ -39,52 +40,76 @@ OPEN_HOSTS = 2_000
 _HOST = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
+_NUMBERS = pa.list_(pa.int64())
+_PARTS = pa.schema([("host", pa.string()), ("wrapper", pa.string()), ("page", pa.int64()), ("paths", _NUMBERS), ("strings", _NUMBERS), ("held", _NUMBERS)])
+
+
 def _partial(batches):
-    open_hosts: dict[str, tuple[list[int], Element]] = {}
+    """Rows of two kinds: a host's partial wrapper, and what a page shows, as counted() gives it."""
+    open_hosts: dict[str, Element] = {}
 
     def flush():
-        rows = [(h, m, json.dumps(e.pack(frozenset(m)))) for h, (m, e) in open_hosts.items()]
+        rows = [{"host": h, "wrapper": json.dumps(e.pack())} for h, e in open_hosts.items()]
         open_hosts.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.string())], ["host", "marks", "wrapper"])
+        return pa.RecordBatch.from_pylist(rows, schema=_PARTS)
 
     for batch in batches:
+        rows = []
         for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if html:
-                known = open_hosts.get(host)
-                one = page(html, parse(html), known[0] if known else [])
-                open_hosts[host] = merge([known, one]) if known else one
+                digest, one, shown = counted(html, parse(html))
+                open_hosts[host] = merge([([], open_hosts[host]), ([], one)])[1] if host in open_hosts else one
+                rows.append((host, None, digest, *zip(*shown, strict=True)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _PARTS, strict=True)], schema=_PARTS)
         if len(open_hosts) > OPEN_HOSTS:
             yield flush()
     yield flush()
 
 
-def _merge_rows(rows: pd.DataFrame) -> tuple[list[int], Element]:
-    rows = rows.sort_values("wrapper")
-    return merge([([int(x) for x in m], Element.unpack(json.loads(w))) for m, w in zip(rows["marks"], rows["wrapper"], strict=True)])
+def _merge_rows(rows: pd.DataFrame) -> Element:
+    return merge([([], Element.unpack(json.loads(w))) for w in rows["wrapper"].sort_values()])[1]
+
+
+def _counts(shown: DataFrame) -> DataFrame:
+    """(host, pages, places, template) as in Counts, over shown(host, page, paths, strings, held); every distinct page counts once.
+
+    Strings go on by (host, path, string), and those of one page alone go no further, so that a host with most pages makes no large task.
+    """
+    each = shown.dropDuplicates(["host", "page"]).select("host", F.inline(F.arrays_zip("paths", "strings", "held")).alias("path", "string", "held"))
+    n = each.groupBy("host", "path", "string").agg(F.count(F.lit(1)).alias("n"), F.sum("held").alias("held"))
+    n = stored(n.where("string IS NULL OR n > 1"), "page-strings")
+    hosts = n.where((F.col("path") == ROOT) & F.col("string").isNull()).select("host", F.col("n").alias("pages"))
+    n = n.join(sized(hosts, BROADCAST_HOSTS), "host").where(F.col("string").isNull() | (F.col("n") >= F.col("pages") * NEARLY_ALL))
+    at = F.col("string").isNull()
+    return n.groupBy("host").agg(
+        F.first("pages").alias("pages"), F.collect_list(F.when(at, F.array("path", "n", "held"))).alias("places"), F.collect_list(F.when(~at, F.array("path", "string", "n"))).alias("template")
+    )
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, marks, wrapper) inferred from all pages(host, html)."""
+    """(host, wrapper, pages, places, template) inferred from all pages(host, html); the last three as in Counts."""
     pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    schema = "host string, marks array<long>, wrapper string"
-    parts = pages.mapInArrow(_partial, schema).withColumn("part", F.spark_partition_id())
-    parts = stored(parts, "partial-wrappers")
+    read = pages.mapInArrow(_partial, "host string, wrapper string, page long, paths array<long>, strings array<long>, held array<long>").withColumn("part", F.spark_partition_id())
+    read = stored(read, "partial-wrappers")
+    parts = read.where("wrapper IS NOT NULL").select("host", "wrapper", "part")
     top = parts.agg(F.max("part")).first()[0] or 0
     level = max(1, int(top**0.5))
 
     def joined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        m, e = _merge_rows(rows)
-        return pd.DataFrame([[key[0], m, json.dumps(e.pack(frozenset(m)))]], columns=["host", "marks", "wrapper"])
+        return pd.DataFrame([[key[0], json.dumps(_merge_rows(rows).pack())]], columns=["host", "wrapper"])
 
+    schema = "host string, wrapper string"
     once = parts.groupBy("host", F.pmod("part", F.lit(level)).alias("part")).applyInPandas(joined, schema)
-    return once.groupBy("host").applyInPandas(joined, schema)
+    made = once.groupBy("host").applyInPandas(joined, schema)
+    return made.join(_counts(read.where("wrapper IS NULL").drop("wrapper", "part")), "host")
 
 
 def decisions(found: DataFrame) -> DataFrame:
     """(host, main, top, whole, beside, fixed) of wrappers; see Decision."""
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [Decision(m, Element.unpack(json.loads(w))) for m, w in zip(batch.column("marks").to_pylist(), batch.column("wrapper").to_pylist(), strict=True)]
+        out = [Decision([], Element.unpack(json.loads(x["wrapper"])), Counts(x["pages"], x["places"], x["template"])) for x in batch.to_pylist()]
         kind = pa.list_(pa.string())
         columns = [pa.array([o.main for o in out], kind), pa.array([o.top for o in out], pa.int32()), pa.array([o.whole for o in out], pa.bool_()), pa.array([o.beside for o in out], kind), pa.array([o.fixed for o in out], kind)]
         return pa.RecordBatch.from_arrays([batch.column("host"), *columns], ["host", "main", "top", "whole", "beside", "fixed"])

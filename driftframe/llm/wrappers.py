@@ -6,22 +6,26 @@ groups. Two expressions are aligned element by element: what stands in one only
 repeated group, and unequal strings turn into a slot that varies. No alternatives (unions) ever arise. merge() may be applied in
 any order and grouping, so wrappers are built from partial ones.
 
-Beside its slot an element keeps which strings it held on which of the host's MARKS pages: those whose digests are least, so an
-even sample of distinct pages, each counted once however many copies it has. A string on nearly all of them is the template's.
-decide() reads off a wrapper where the article is: in the repeated group with most text that varies and stands outside links.
+Which strings are the template's is told by counting: those that nearly all of a host's distinct pages show at one path, a page
+counted once however many copies it has. Counts holds that over all pages of a host, from the (path, string) pairs that
+expression() notes; the operator always passes it. For a few pages without a table of counts, an element keeps which strings it held
+on which of MARKS pages.
+Decision reads off a wrapper where the article is: in the repeated group with most text that varies and stands outside links.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from hashlib import blake2b
 
 from driftframe.llm.html_tree import INLINE, Node, squeeze
 
 #: Above so many inner elements, like ones are folded wherever they stand: the expression (a? b? ...)+, which no page contradicts.
 WIDE = 48
-#: Distinct pages of a host, taken by digest, on which strings are told apart, and the share of them that a template's string is on.
+#: Distinct pages, taken by digest, on which strings are told apart where no Counts are given.
 MARKS = 24
+#: Share of a host's distinct pages that a template's string is on.
 NEARLY_ALL = 0.9
 #: Most of an article's strings that can be the template's: where more of them agree, the pages are copies of one another.
 MOST_FIXED = 0.5
@@ -180,7 +184,7 @@ def merge(parts: list[Wrapper]) -> Wrapper:
 
 
 def page(html: str, root: Node, marks: list[int] = ()) -> Wrapper:
-    """The wrapper of one page; its strings are noted unless marks are full of lesser ones."""
+    """The wrapper of one page, for use without Counts; its strings are noted unless marks are full of lesser ones."""
     mark = int.from_bytes(blake2b(html.encode("utf-8", "surrogatepass"), digest_size=6).digest(), "big")
     noted = len(marks) < MARKS or mark < marks[-1]
     return [mark] if noted else [], expression(root, mark if noted else None)
@@ -219,12 +223,52 @@ def _said(parts: list[str]) -> str:
     return " ".join("".join(parts).split())
 
 
+def _number(text: str, at: int = 0) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, salt=at.to_bytes(8, "big", signed=True)).digest(), "big", signed=True)
+
+
 def digest(text: str) -> str:
-    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=9).hexdigest()
+    return hexed(_number(text))
+
+
+def hexed(number: int) -> str:
+    """A string's digest, of its number in a table."""
+    return f"{number & 0xFFFFFFFFFFFFFFFF:016x}"
+
+
+#: The path of a page's root.
+ROOT = 0
+
+
+@lru_cache(maxsize=100_000)
+def step(path: int, key: str) -> int:
+    """The path, as a number, that a key leads on to."""
+    return _number(key, path)
 
 
-def expression(node: Node, mark: int | None = 0) -> Element:
-    """The expression of one page's element; mark: the page's, if its strings are noted."""
+def counted(html: str, root: Node) -> tuple[int, Element, list[tuple[int, int | None, int]]]:
+    """A page's digest, its wrapper without strings, and what it shows, each once: (path, string, 0), and for every path of an element
+    (path, None, how many strings stand there)."""
+    shown: dict[int, set[int]] = {}
+    e = expression(root, None, shown)
+    return _number(html), e, [x for path, strings in shown.items() for x in ((path, None, len(strings)), *((path, s, 0) for s in strings))]
+
+
+class Counts:
+    """Of a host's distinct pages: how many there are; places: by path, how many have an element there and how many (page, string)
+    pairs there are; template: (path, string) on nearly all of them, with how many show it."""
+
+    def __init__(self, pages: int, places: list[tuple[int, int, int]], template: list[tuple[int, int, int]]):
+        self.pages = pages
+        self.places = {path: (here, total) for path, here, total in places}
+        self.template: dict[int, dict[str, int]] = {}
+        for path, string, n in template:
+            if n > 1:
+                self.template.setdefault(path, {})[hexed(string)] = n
+
+
+def expression(node: Node, mark: int | None = 0, shown: dict[int, set[int]] | None = None, path: int = ROOT) -> Element:
+    """The expression of one page's element; mark: the page's, if its strings are noted; shown: takes the strings of all its elements by path."""
     parts, links, inner = [], 0, []
     for c in node.children:
         if isinstance(c, str):
@@ -234,8 +278,10 @@ def expression(node: Node, mark: int | None = 0) -> Element:
             parts.append(t)
             links += k
         elif c.tag not in ("script", "style", "noscript", "template"):
-            inner.append(expression(c, mark))
+            inner.append(expression(c, mark, shown, ROOT if shown is None else step(path, key_of(c))))
     text = _said(parts)
+    if shown is not None:
+        shown.setdefault(path, set()).update([_number(text)] if text else ())
     return Element(key_of(node), fold(inner), text, len(text), links, int(bool(text)), strings=None if mark is None else {HERE: {mark}, digest(text): {mark}} if text else {HERE: {mark}})
 
 
@@ -259,9 +305,13 @@ class Decision:
     the article can't reach beyond), whole (whether all of that element is the article's), beside (paths under it that are not), fixed
     (strings of the template under it)."""
 
-    def __init__(self, marks: list[int], root: Element):
+    def __init__(self, marks: list[int], root: Element, counts: Counts | None = None):
         self.marks = frozenset(marks)
+        self.counts = counts
         self._constant: dict[int, frozenset[str]] = {}
+        self._path: dict[int, int] = {}
+        if counts:
+            self._walk(root, ROOT)
         found = None
         for by_name in (True, False):
             found = found or self._core(root, by_name, True) or self._core(root, by_name, False)
@@ -276,8 +326,22 @@ class Decision:
         self.beside = [] if self.whole else sorted(self._beside(level, self.main[self.top :]))
         self.fixed = self._fixed(level)
 
+    def _walk(self, e: Element, path: int) -> None:
+        """Paths of all elements; those of a group stand where the group does."""
+        self._path[id(e)] = path
+        for c in e.inner:
+            self._walk(c, path if c.key[0] == "+" else step(path, c.key))
+
+    def share(self, e: Element) -> float:
+        """Share of the pages on which e stands."""
+        if self.counts:
+            return self.counts.places.get(self._path[id(e)], (0, 0))[0] / max(1, self.counts.pages)
+        return len(e.strings.get(HERE, self.marks) & self.marks) / max(1, len(self.marks))
+
     def constants(self, e: Element) -> frozenset[str]:
         """The template's strings in e's slot."""
+        if self.counts:
+            return frozenset(self.counts.template.get(self._path[id(e)], ()))
         if id(e) not in self._constant:
             least = max(2, NEARLY_ALL * len(self.marks))
             self._constant[id(e)] = frozenset(s for s, seen in e.strings.items() if s != HERE and len(seen & self.marks) >= least)
@@ -285,6 +349,9 @@ class Decision:
 
     def varies(self, e: Element) -> float:
         """Share of the strings in e's slot that are not the template's."""
+        if self.counts:
+            path = self._path[id(e)]
+            return 1.0 - sum(self.counts.template.get(path, {}).values()) / max(1, self.counts.places.get(path, (0, 0))[1])
         every = {s: len(seen & self.marks) for s, seen in e.strings.items() if s != HERE}
         total = sum(every.values())
         return 1.0 - sum(every[s] for s in self.constants(e)) / total if total else 1.0
@@ -313,7 +380,7 @@ class Decision:
                         body += self.weight(y)
                     tells = tag_of(y.key) in ("article", "main") or MAIN_NAMES.search(y.key.partition(".")[2])
                     todo.append((y, [*path, y.key], NAMED if tells else named))
-            body *= named * (len(x.strings.get(HERE, self.marks) & self.marks) / max(1, len(self.marks)))
+            body *= named * self.share(x)
             if body > best:
                 best, found = body, path
         return found

@@ -12,11 +12,26 @@ from pyspark.sql import functions as F
 from driftframe.operators.clean import series
 
 
+def _deviation(values: Column) -> Column:
+    """Sample standard deviation of an array by Welford's recurrence, oldest first; null under two values. The engine's own aggregate takes
+    the same sum of squares by another recurrence, and a last bit decides where a deviation lies on a threshold."""
+
+    def add(s: Column, x: Column) -> Column:
+        n = s["n"] + 1
+        mean = s["mean"] + (x - s["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["squares"] + (x - mean) * (x - s["mean"])).alias("squares"))
+
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+    return F.aggregate(values, zero, add, lambda s: F.when(s["n"] > 1, F.sqrt(s["squares"] / (s["n"] - 1))))
+
+
 def rolling(column: str, w, n: int, how: str, partial: bool = False) -> Column:
     """std, mean, max or min over the last n rows; null until there are n unless partial."""
     over = w.rowsBetween(-(n - 1), 0)
-    f = {"std": F.stddev_samp, "mean": F.avg, "max": F.max, "min": F.min}[how]
-    value = f(column).over(over)
+    if how == "std":
+        value = _deviation(F.collect_list(F.col(column).cast("double")).over(over))
+    else:
+        value = {"mean": F.avg, "max": F.max, "min": F.min}[how](column).over(over)
     return value if partial else F.when(F.count(column).over(over) == n, value)
 
 

@@ -2,7 +2,7 @@
 
 messages(tree, node, parent, role, text, score) form trees. Iterated self-joins enumerate every root-to-leaf path: a round joins what
 is known of paths, and the jumps from node to ancestor, with the jumps, which doubles the length of both; a path of n messages takes
-log2(n) rounds, all of ids alone, each one join and one table in the shared folder. Branches are ranked by score, the best ones of each tree are
+log2(n) rounds, all of ids alone, each one join and one folder of a table in the shared folder. Branches are ranked by score, the best ones of each tree are
 chosen, and each chosen path is formatted as one conversation with the spans of its loss mask.
 
 Template: <|im_start|>role LF text <|im_end|> LF, for each message. Inside a text each "<" followed by backslashes and "|" gets
@@ -20,12 +20,12 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from driftframe.llm.common import stored
+from driftframe.llm.common import dealt, put, stored
+from driftframe.runtime import new_folder
 
 #: Control strings of the template.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -66,55 +66,66 @@ def linear(conversations: DataFrame) -> DataFrame:
     return rows.select(F.col("conv_id").alias("tree"), "node", parent.alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def _placed(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, ids), both stored: t holds the tree, so that null trees join; ids(t, node, above) has above null at roots."""
-    rows = messages.select(F.struct("tree").alias("t"), F.col("node").cast("long"), F.col("parent").cast("long"), "role", "text", "score")
-    rows = stored(rows, "messages")
-    known = rows.select("t", F.col("node").alias("parent"), F.col("node").alias("above"))
-    ids = rows.select("t", "node", "parent").join(known, ["t", "parent"], "left").select("t", "node", "above")
-    return rows, stored(ids, "reply-edges", rows.count())
+def _placed(messages: DataFrame) -> DataFrame:
+    """messages, stored; t holds the tree, so that null trees join."""
+    return stored(messages.select(F.struct("tree").alias("t"), F.col("node").cast("long"), F.col("parent").cast("long"), "role", "text", "score"), "messages")
+
+
+def _steps(rows: DataFrame) -> DataFrame:
+    """(t, start, at, up, path, round) of rows(t, node, parent), as _paths() has them after round 0: every leaf at itself, and every reply's jump to its parent."""
+    known = rows.select("t", F.col("node").alias("parent"), F.lit(True).alias("known"))
+    answered = rows.where("parent is not null").select("t", F.col("parent").alias("node"), F.lit(True).alias("answered")).distinct()
+    ids = rows.select("t", "node", "parent").join(known, ["t", "parent"], "left").join(answered, ["t", "node"], "left")
+    step = lambda at, up, path: F.struct(F.col(at).alias("at"), F.lit(up).cast("long").alias("up"), F.lit(path).alias("path"))
+    own = F.array(F.when(F.col("answered").isNull(), step("node", 0, True)), F.when(F.col("known"), step("parent", 1, False)))
+    return ids.select("t", F.col("node").alias("start"), F.inline(F.filter(own, lambda x: x.isNotNull())))
 
 
-def _paths(ids: DataFrame, n: int) -> DataFrame:
-    """(t, leaf, node, up) of every path of ids(t, node, above); paths above which a cycle stands are cut somewhere in it.
+def _paths(rows: DataFrame) -> DataFrame:
+    """(t, start, at, up, path, round) of rows(t, node, parent): where path holds, at stands up messages above the leaf start, in one row for every
+    message of every path; paths above which a cycle stands are cut somewhere in it.
 
-    A row (t, start, at, up) says that at stands up messages above start: of a path if start is its leaf, else a jump of the round's
-    length. A round joins all rows with its jumps, which gives more of each path and jumps twice as long.
+    Other rows are jumps, of 2 ** round messages. A round joins the paths so far and its jumps with its jumps, which gives more of each
+    path and jumps twice as long. Rounds are folders of one table, so that a plan reads one table however many rounds there were.
     """
-    edges = ids.where("above is not null").select("t", F.col("node").alias("start"), F.col("above").alias("at"))
-    leaves = ids.select("t", F.col("node").alias("start")).join(edges.select("t", F.col("at").alias("start")).distinct(), ["t", "start"], "left_anti")
-    on_path, up = F.lit(True).alias("path"), F.lit(0).cast("long").alias("up")
-    parts = [stored(leaves.select("t", "start", F.col("start").alias("at"), up, on_path), "reply-paths", n)]
-    jump, going, step = edges, edges.count(), 1
-    while going:
-        rows = reduce(DataFrame.unionByName, [*parts, jump.select("t", "start", "at", F.lit(step).cast("long").alias("up"), F.lit(False).alias("path"))])
+    folder, n = new_folder(rows.sparkSession, "reply-paths"), rows.count()
+    further, number, going = _steps(rows), 0, n
+    kind = StructType([*further.schema, StructField("round", IntegerType())])
+    while True:
+        put(dealt(further, n + going), f"{folder}/round={number}")
+        seen = rows.sparkSession.read.schema(kind).parquet(folder)
+        jump = seen.where((F.col("round") == number) & ~F.col("path"))
+        before, going = going, jump.count()
+        if not going or going == before:  # none, or only cycles and what hangs off them, are left
+            return seen
         onward = jump.select("t", F.col("start").alias("at"), F.col("at").alias("next"))
-        further = rows.join(onward, ["t", "at"]).select("t", "start", F.col("next").alias("at"), (F.col("up") + step).alias("up"), "path")
-        further = stored(further, "reply-paths", n + going)
-        parts.append(further.where("path"))
-        before, jump, step = going, further.where("not path").select("t", "start", "at"), step * 2
-        going = jump.count()
-        if going == before:  # only cycles, and what hangs off them, are left
-            break
-    return reduce(DataFrame.unionByName, parts).select("t", F.col("start").alias("leaf"), F.col("at").alias("node"), "up")
+        further = seen.where(F.col("path") | (F.col("round") == number)).join(onward, ["t", "at"])
+        further = further.select("t", "start", F.col("next").alias("at"), (F.col("up") + 2**number).alias("up"), "path")
+        number += 1
+
+
+def _replies(seen: DataFrame) -> DataFrame:
+    """(t, node) of every message that is no root."""
+    return seen.where("round = 0 and not path").select("t", F.col("start").alias("node"))
 
 
 def paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, node, up): every message of every root-to-leaf path; up counts steps from the leaf."""
-    rows, ids = _placed(messages)
-    every = _paths(ids, rows.count())
-    roots = ids.where("above is null").select("t", "node")
-    whole = every.join(roots, ["t", "node"], "left_semi").select("t", "leaf")
+    seen = _paths(_placed(messages))
+    every = seen.where("path").select("t", F.col("start").alias("leaf"), F.col("at").alias("node"), "up")
+    whole = every.join(_replies(seen), ["t", "node"], "left_anti").select("t", "leaf")
     return every.join(whole, ["t", "leaf"], "left_semi").select("t.tree", "leaf", "node", "up")
 
 
 def turns(messages: DataFrame, best: int = 1) -> DataFrame:
     """(t, leaf, rank, stretch, up, role, text): the best paths of each tree by mean score (ties: lower leaf). A path is read by falling up;
     stretch is up by STRETCH."""
-    rows, ids = _placed(messages)
-    every = _paths(ids, rows.count())
+    rows = _placed(messages)
+    seen = _paths(rows)
+    every = seen.where("path").select("t", F.col("start").alias("leaf"), F.col("at").alias("node"), "up")
     stretch = F.floor(F.col("up") / STRETCH).alias("stretch")
-    nodes = rows.select("t", "node", F.coalesce("score", F.lit(0.0)).alias("score")).join(ids.select("t", "node", F.col("above").isNull().alias("root")), ["t", "node"])
+    replies = _replies(seen).withColumn("reply", F.lit(True))
+    nodes = rows.select("t", "node", F.coalesce("score", F.lit(0.0)).alias("score")).join(replies, ["t", "node"], "left").withColumn("root", F.col("reply").isNull())
     ranked = every.join(nodes, ["t", "node"]).groupBy("t", "leaf").agg(F.avg("score").alias("mean"), F.max("up").alias("top"), F.max("root").alias("whole")).where("whole")
     order = Window.partitionBy("t").orderBy(F.desc("mean"), "leaf")
     chosen = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)

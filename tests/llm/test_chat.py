@@ -1,12 +1,14 @@
 """Reply trees against brute force; reversible templates."""
 
 import hashlib
+import os
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from driftframe.llm import chat
+from driftframe import runtime
+from driftframe.llm import chat, common
 
 DDL = "tree long, node long, parent long, role string, text string, score double"
 
@@ -105,3 +107,23 @@ def test_long_conversations_are_put_together_in_order(spark):
         loss = "".join(b for _, a, b in said if a == "assistant")
         assert (got[c]["n_turns"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(said), len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert got[c]["formatted_chars"] == sum(len(a) + len(plain_escape(b)) + 24 for _, a, b in said)
+
+
+def test_a_round_of_paths_adds_a_folder_and_no_scan(spark, monkeypatch):
+    kinds, plans = [], []
+    new, put = runtime.new_folder, runtime.put
+    for module in (chat, common):
+        monkeypatch.setattr(module, "new_folder", lambda s, kind: kinds.append(kind) or new(s, kind), raising=False)
+        monkeypatch.setattr(module, "put", lambda df, path: plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Relation")) or put(df, path), raising=False)
+    for top in (3, 400):
+        kinds.clear()
+        plans.clear()
+        rows = [(1, n, n - 1 if n else None, "user", f"{n}", 0.0) for n in range(top)]
+        assert sorted(r["up"] for r in chat.paths(spark.createDataFrame(rows, DDL)).collect()) == list(range(top))
+        assert sorted(kinds) == ["messages", "reply-paths"] and max(plans[2:]) == 2
+
+
+def test_intermediate_tables_have_no_mark(spark):
+    for made in (common.stored(spark.range(3), "marks"), runtime.settled(spark.range(3), "marks")):
+        folder = os.path.dirname(made.inputFiles()[0]).removeprefix("file://")
+        assert sorted(r["id"] for r in made.collect()) == [0, 1, 2] and not [x for x in os.listdir(folder) if "SUCCESS" in x]
